@@ -13,6 +13,7 @@ the same pieces when it runs again.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 END_ID = 2
 #: Distinct chunks of text whose ids a worker remembers; it then starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Sequence numbers of a task.
 TASK_SHIFT = 34
 
@@ -45,6 +46,7 @@ class ChunkTokenizer:
     """Token ids of texts, where white space ends a token: chunks between white space are looked up or encoded once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,18 +60,23 @@ class ChunkTokenizer:
         self.used = 0
 
     def _learn(self, chunks: list[str]) -> None:
-        for chunk, enc in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            ids, at = enc.ids, len(self.number)
-            if at == len(self.lengths):
-                self.lengths, self.begins = np.resize(self.lengths, 2 * at), np.resize(self.begins, 2 * at)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-            self.number[chunk] = at
-            self.lengths[at], self.begins[at] = len(ids), self.used
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        at, used = len(self.number), self.used
+        lengths = np.array([len(x) for x in found], dtype=np.int64)
+        ids = np.array([i for x in found for i in x], dtype=np.uint32)
+        if at + len(found) > len(self.lengths):
+            self.lengths, self.begins = (np.resize(x, 2 * (at + len(found))) for x in (self.lengths, self.begins))
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+        self.lengths[at : at + len(found)] = lengths
+        self.begins[at : at + len(found)] = used + np.cumsum(lengths) - lengths
+        self.ids[used : used + len(ids)] = ids
+        self.used = used + len(ids)
+        self.number.update(zip(chunks, range(at, at + len(found)), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
+        if text.isascii():
+            text = text.lower()
         chunks = text.split() if _ODD.search(text) is None else _CHUNK.findall(text)
         number = self.number
         try:

@@ -21,9 +21,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.simhash import hex_fingerprint, near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir), shingle_words=4)
+    return found.select("doc_id", hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.quality import judge
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return judge(documents(spark, sf_dir), labels).select(*columns)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
