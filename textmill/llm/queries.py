@@ -21,6 +21,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.substrings import removal_digest, repeated_spans
+
+    docs = documents(spark, sf_dir)
+    return removal_digest(docs, repeated_spans(docs))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.simhash import hex_fingerprint, near_duplicates
 
@@ -39,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
