@@ -28,6 +28,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(docs, repeated_spans(docs))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.language import predict_languages
+
+    return predict_languages(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.simhash import hex_fingerprint, near_duplicates
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_language_id": op7_language_id,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
