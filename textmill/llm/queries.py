@@ -21,6 +21,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.hmm import score_documents
+    from textmill.llm.language import held_out
+
+    return score_documents(documents(spark, sf_dir), held_out(7, 2))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.substrings import removal_digest, repeated_spans
 
@@ -52,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op4_hmm_scores": op4_hmm_scores,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_language_id": op7_language_id,
     "op9_simhash": op9_simhash,
