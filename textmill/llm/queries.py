@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm.runtime import documents
+from textmill.llm import sql
+from textmill.llm.runtime import documents, shared_dir
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.decontamination import leaks
+
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.hmm import score_documents
     from textmill.llm.language import held_out
@@ -41,6 +48,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(documents(spark, sf_dir))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from textmill.llm.rollups import document_totals
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return document_totals(documents(spark, sf_dir), labels, f"{shared_dir(spark)}/rollup-{uuid4().hex}")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.simhash import hex_fingerprint, near_duplicates
 
@@ -59,11 +75,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_hmm_scores": op4_hmm_scores,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_language_id": op7_language_id,
+    "op8_token_rollup": op8_token_rollup,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_token_rollup": sql.TOKEN_ROLLUP,
+}

@@ -101,12 +101,17 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         a = b
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of rows laid end to end in data."""
+#: Bytes outside letters and digits, where every byte beyond ASCII is taken for part of a letter.
+MARKS = np.ones(256, dtype=bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Words of rows laid end to end in data; between: which bytes stand between words."""
     if lower:
         data = _LOWER[data]
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edge = offsets[1:-1]
