@@ -42,6 +42,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(docs, repeated_spans(docs))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.licences import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.language import predict_languages
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_hmm_scores": op4_hmm_scores,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_licence_scan": op6_licence_scan,
     "op7_language_id": op7_language_id,
     "op8_token_rollup": op8_token_rollup,
     "op9_simhash": op9_simhash,
