@@ -28,7 +28,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 END_ID = 2
 #: Distinct chunks of text whose ids a worker remembers; it then starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: Sequence numbers of a task.
 TASK_SHIFT = 34
 
@@ -50,6 +50,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.word_end[i] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
@@ -59,8 +62,23 @@ class ChunkTokenizer:
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _encoded(self, cores: list[str]) -> list[list[int]]:
+        """Ids of chunks; words of letters alone are encoded many at a time and told apart by their word ends."""
+        words = [c for c in cores if c.isalpha()]
+        others = [c for c in cores if not c.isalpha()]
+        lines = [words[i : i + 256] for i in range(0, len(words), 256)]
+        found: dict[str, list[int]] = {}
+        for line, enc in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = enc.ids
+            ends = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+            if len(ends) == len(line):
+                found.update((w, ids[i:j]) for w, i, j in zip(line, [0, *ends], ends, strict=False))
+            else:
+                others += line
+        found.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
+        return [found[c] for c in cores]
+
+    def _remember(self, chunks: list[str], found: list[list[int]]) -> None:
         at, used = len(self.number), self.used
         lengths = np.array([len(x) for x in found], dtype=np.int64)
         ids = np.array([i for x in found for i in x], dtype=np.uint32)
@@ -74,6 +92,18 @@ class ChunkTokenizer:
         self.used = used + len(ids)
         self.number.update(zip(chunks, range(at, at + len(found)), strict=True))
 
+    def _ids(self, chunk: str) -> list[int]:
+        at = self.number[chunk]
+        return self.ids[self.begins[at] : self.begins[at] + self.lengths[at]].tolist()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """A full stop or comma after a letter or digit is a token of its own, so such chunks are put together."""
+        parts = [(c[:-1], c[-1]) if c[-1] in ".," and len(c) > 1 and c[-2].isalnum() else (c, "") for c in chunks]
+        cores = [a for a in dict.fromkeys([*(a for a, _ in parts), ".", ","]) if a not in self.number]
+        self._remember(cores, self._encoded(cores))
+        joined = [c for c in chunks if c not in self.number]
+        self._remember(joined, [self._ids(c[:-1]) + self._ids(c[-1]) for c in joined])
+
     def encode(self, text: str) -> np.ndarray:
         if text.isascii():
             text = text.lower()

@@ -93,7 +93,7 @@ def _across(grouped: DataFrame, max_distance: int) -> DataFrame:
     low = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
     high = F.shiftrightunsigned("fp", SEGMENT_BITS)
     # the table's number is kept in bit 32, which no 32-bit segment uses
-    tables = F.flatten(F.array(_ball(low, SEGMENT_BITS), F.transform(_ball(high, SEGMENT_BITS), lambda v: v.bitwiseOR(F.lit(1 << SEGMENT_BITS)))))
+    tables = F.flatten(F.array(_ball(low, SEGMENT_BITS), _ball(high.bitwiseOR(F.lit(1 << SEGMENT_BITS)), SEGMENT_BITS)))
     filed = grouped.select("fp", "comp", F.explode(tables).alias("place"))
     mixed = filed.groupBy("place").agg(F.min("comp").alias("least"), F.max("comp").alias("top")).where("least != top")
     met = staged(filed.join(mixed, "place"), "simhash-met")

@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,12 +224,28 @@ def removal_digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return _kept(docs, spans, emit, schema, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def removed_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text of the documents that have a span: the kept words joined by one space."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def _kept_text(raw: bytes, asked) -> bytes:
+    """The runs of kept words as they stand in the text, joined by one space."""
+    w = W.split(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+    gone = _union(np.array([x["start"] for x in asked]), np.array([x["length"] for x in asked]), len(w.starts))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    return b" ".join(raw[w.starts[a] : w.ends[b - 1]] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
-    def emit(doc, raw, asked):
-        return doc, b" ".join(_split_kept(raw, asked)[1]).decode()
 
-    lists = spans.select("doc_id", "start", "length")
-    return _kept(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), lists, emit, schema, "doc_id long, text string")
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs with the words of repeated_spans taken out of their texts, and n_chars (where there is one) of what is left.
+
+    Texts without a repeat, nulls among them, stay as they are, as do all other columns; a
+    text that is all repeats becomes empty.
+    """
+    spans = repeated_spans(docs, **options).select("doc_id", "start", "length")
+    lists = staged(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("__asked")), "substrings-asked")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None or t is None else _kept_text(t.encode(), a).decode() for t, a in zip(text, asked, strict=True)], dtype=object)
+
+    new = sized_join(docs, lists, "doc_id", "left", row_bytes=200).withColumn("text", cut("text", "__asked"))
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.when(F.col("__asked").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return new.select(*docs.columns)
