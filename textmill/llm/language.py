@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import words as W
+from textmill.llm.runtime import map_batches
 
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
@@ -167,7 +168,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(name, pa.string()), pa.array(score)], schema=schema)
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return docs.select("doc_id", "text", letters).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text", letters).transform(map_batches, rows, "doc_id long, lang_pred string, score double")
 
 
 def _predict(net: Network | None, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from textmill.llm.runtime import map_batches
+
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group; each tier gives STEP_TOKENS / tier sequences to a group.
 STEP_TOKENS = 1 << 16
 END_ID = 2
 #: Distinct chunks of text whose ids a worker remembers; it then starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: Sequence numbers of a task.
 TASK_SHIFT = 34
 
@@ -219,4 +221,4 @@ def pack(
         if packer.out:
             yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    return docs.select("doc_id", "text").transform(map_batches, pieces, PIECES)

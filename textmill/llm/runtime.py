@@ -1,4 +1,4 @@
-"""Shared folders, staged tables and joins whose small side has a checked size."""
+"""Shared folders, staged tables and bounded Arrow batches."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side, in bytes, that sized_join sends to every executor.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of an Arrow batch between the JVM and its Python workers, so that long texts do not fill either.
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +33,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, bound: int = BROADCAST_BYTES) -> bool:
-    """Whether df (cheap to count) has at most bound bytes."""
-    return df.count() * row_bytes <= bound
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def sized_join(big: DataFrame, side: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
-    """Join; side goes to every executor if its counted size is bounded, else both sides are shuffled."""
-    return big.join(F.broadcast(side) if small(side, row_bytes) else side, on, how)
+def map_batches(df: DataFrame, function, ddl: str) -> DataFrame:
+    """mapInArrow with bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(function, ddl)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

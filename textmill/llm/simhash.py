@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.components import components
-from textmill.llm.runtime import staged
+from textmill.llm.runtime import map_batches, staged
 
 SEGMENT_BITS = 32
 MAX_DISTANCE = 4
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 5, seed: int = 42) ->
             found = np.fromiter((_fingerprint(t.as_py() or b"", shingle_words, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, fp long")
+    return docs.select("doc_id", "text").transform(map_batches, rows, "doc_id long, fp long")
 
 
 def _ball(value: Column, bits: int) -> Column:
