@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import words as W
+from textmill.llm.runtime import bound_batches, map_batches
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -160,20 +162,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, question: float = QUESTION,
     repeated items are items of their own.  No items or no documents: no rows.  Words of a
     passage are runs of letters and digits; first_word counts them from 0.
     """
+    found = docs.sparkSession.createDataFrame([], LEAKS)
+    for index in _indexes(benchmark, retrieve):
+        found = found.unionByName(_leaks(docs, index, question, answer))
+    return found
+
+
+def _indexes(benchmark: DataFrame, retrieve: float) -> Iterator[Index]:
+    """Indexes of INDEX_ITEMS items or about as many, which together hold every item."""
     items = benchmark.where("text is not null").select("item_id", "text")
-    parts = max(1, -(-items.count() // INDEX_ITEMS))
-    found = None
+    parts = -(-items.count() // INDEX_ITEMS)
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        one = _leaks(docs, build([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))], retrieve), question, answer)
-        found = one if found is None else found.unionByName(one)
-    return found
+        index = build([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))], retrieve)
+        if index is not None:
+            yield index
 
 
-def _leaks(docs: DataFrame, index: Index | None, question: float, answer: float) -> DataFrame:
+def _leaks(docs: DataFrame, index: Index, question: float, answer: float) -> DataFrame:
     spark = docs.sparkSession
-    if index is None:
-        return spark.createDataFrame([], LEAKS)
     sent = spark.sparkContext.broadcast(index)
     kinds = {"long": pa.int64(), "double": pa.float64()}
     schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in LEAKS.split(", "))])
@@ -187,10 +194,29 @@ def _leaks(docs: DataFrame, index: Index | None, question: float, answer: float)
                     ids = batch.column("doc_id").cast(pa.int64()).take(pa.array([a + r for r in columns[0]]))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, LEAKS)
+    return docs.select("doc_id", "text").transform(map_batches, rows, LEAKS)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, question: float = QUESTION, answer: float = ANSWER, retrieve: float = RETRIEVE) -> DataFrame:
+    """The rows of docs that leak no item, with all their columns.
+
+    Rows are judged where they are read, so no document is shuffled; null texts stay.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    for index in _indexes(benchmark, retrieve):
+        docs = docs.where(~_leaky(spark.sparkContext.broadcast(index), question, answer)("text"))
+    return docs
+
+
+def _leaky(sent: Broadcast, question: float, answer: float):
+    """A function of texts that tells whether they leak an item of the index."""
 
+    @F.arrow_udf("boolean")
+    def leaky(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), dtype=bool)
+        for a, _, data, offsets in W.slices(text):
+            out[[a + found[0] for found in search(sent.value, data, offsets, question, answer)]] = True
+        return pa.array(out)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns."""
-    leaked = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
+    return leaky

@@ -8,16 +8,16 @@ one ordered Spark conditional expression, so applying them is a projection.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.llm import words as W
-from textmill.llm.runtime import staged
+from textmill.llm.runtime import bound_batches
 
 #: Labelled rows that the list is learned from at most, taken by a hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -56,6 +56,8 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _dup_lines(w: W.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word of each row, and those equal to an earlier line of the row."""
     data, rows = w.data, w.rows
+    if not len(w.starts):
+        return np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
     breaks = data == 10
     begin = np.unique(np.concatenate([w.offsets[:-1], np.flatnonzero(breaks) + 1]))
     begin = begin[begin < len(data)]
@@ -108,22 +110,20 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict
     return {k: out[k].astype(np.int64) for k in COUNTS}
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of every row's whole text; nothing is shuffled.
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def _counted(text: pa.Array) -> pa.Array:
+    parts = [measure(data, offsets) for _, _, data, offsets in W.slices(text)]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)) for c in COUNTS], list(COUNTS))
 
-    A null text has no words.  A text's lines are what stands between its ``\\n``; a line
-    counts if it has a word.  Other columns of docs are not carried.
-    """
-    names = list(COUNTS)
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in names)])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in W.slices(batch.column("text")):
-                found = measure(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), *(pa.array(found[c]) for c in names)], schema=schema)
+def statistics(docs: DataFrame, name: str = "stats") -> DataFrame:
+    """docs with a struct of COUNTS of every row's whole text; nothing is shuffled.
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+    A null text has no words.  A text's lines are what stands between its ``\\n``; a line
+    counts if it has a word.
+    """
+    bound_batches(docs.sparkSession)
+    return docs.withColumn(name, _counted("text"))
 
 
 @dataclass(frozen=True)
@@ -218,18 +218,22 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learn from the statistics of labelled documents (quality 0 is bad): sample_rows of them at most.
+def learn_from(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Learn from the texts of labelled documents (quality 0 is bad): sample_rows labels at most.
 
+    The labels are taken by a hash of their doc_id, so only sampled texts are measured.
     Rows without a label or with a null one are left out; a doc_id with several labels
     counts once for each.  No labels: no rules, and every document passes them.
     """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    # sample_rows rows of 12 bytes at most, so they can go to every executor
+    sample = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "quality").limit(sample_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     picked = (
-        stats.join(known, "doc_id")
+        statistics(texts, "__stats")
+        .select("doc_id", "quality", "__stats.*")
         .select("doc_id", "quality", *(F.expr(e).alias(k) for k, e in FEATURES.items()))
         .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "quality")
-        .limit(sample_rows)
         .toPandas()
     )
     names = list(FEATURES)
@@ -241,17 +245,20 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Statistics, base_failed, rule (number of the rule that rejected the row) and kept, for every row of docs.
+    """doc_id, COUNTS, base_failed, rule (number of the rule that rejected the row) and kept, for every row of docs.
 
     Null and empty texts have no words and fail the base rule.  Repeated rows are judged
     one by one.  An empty table gives an empty result.
     """
-    stats = staged(statistics(docs), "quality-statistics")
-    rules = learn_from(stats, labels, sample_rows=sample_rows)
-    return stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    rules = learn_from(docs, labels, sample_rows=sample_rows)
+    counted = statistics(docs.select("doc_id", "text"), "__stats").select("doc_id", "__stats.*")
+    judged = counted.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    verdicts = judge(docs, labels, sample_rows=sample_rows).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["doc_id"]), "left_anti")
+    """The rows of docs that the rules keep, with all their columns; rows are judged where they are read."""
+    rules = learn_from(docs, labels, sample_rows=sample_rows)
+    # the struct alone, so that no column of docs clashes with a count's name
+    named = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text"), "__stats")
+    return named.select("__row", "__stats.*").where(~base_failed() & (verdict(rules) == 0)).select("__row.*")
