@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm import words as W
-from textmill.llm.runtime import sized_join, staged
+from textmill.llm.runtime import bound_batches, map_batches, staged
 
 WINDOW = 20
 MINIMIZER_WORDS = 4
@@ -91,14 +91,13 @@ def runs(docs: DataFrame, window: int, k: int) -> DataFrame:
                 ids = batch.column("doc_id").slice(a, b - a).cast(pa.int64()).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(m), pa.array(c)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start int, n int, m long, c long")
+    return docs.select("doc_id", "text").transform(map_batches, rows, "doc_id long, start int, n int, m long, c long")
 
 
 def _asked(docs: DataFrame, asked: DataFrame, how: str = "inner") -> DataFrame:
     """Documents with the list of what is asked of each; a list is no longer than its document has words or sources have spans."""
     lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in asked.columns if c != "doc_id"])).alias("asked"))
-    lists = staged(lists, "substrings-asked")
-    return sized_join(docs.select("doc_id", "text"), lists, "doc_id", how, row_bytes=200)
+    return docs.select("doc_id", "text").join(lists, "doc_id", how)
 
 
 def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
@@ -123,7 +122,7 @@ def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
                 ids = batch.column("doc_id").slice(a, b - a).cast(pa.int64()).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids, pa.array((begin - first[row]).astype(np.int32))], schema=schema)
 
-    return _asked(docs, opened).mapInArrow(rows, "h1 long, h2 long, doc_id long, start int")
+    return _asked(docs, opened).transform(map_batches, rows, "h1 long, h2 long, doc_id long, start int")
 
 
 def _compact(repeats: DataFrame, window: int) -> DataFrame:
@@ -156,7 +155,7 @@ def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    digests = staged(_asked(docs, ask).mapInArrow(rows, "doc_id long, start int, length int, digest binary"), "substrings-digests").distinct()
+    digests = staged(_asked(docs, ask).transform(map_batches, rows, "doc_id long, start int, length int, digest binary"), "substrings-digests").distinct()
     source = digests.select(F.col("doc_id").alias("src_doc"), F.col("start").alias("src_start"), "length", F.col("digest").alias("src_digest"))
     return spans.join(digests, ["doc_id", "start", "length"]).join(source, ["src_doc", "src_start", "length"]).where("digest = src_digest").select("doc_id", "start", "length", "src_doc", "src_start")
 
@@ -202,7 +201,7 @@ def _kept(docs: DataFrame, spans: DataFrame, emit, schema: pa.Schema, ddl: str)
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return _asked(docs, spans.select("doc_id", "start", "length"), "left").mapInArrow(rows, ddl)
+    return _asked(docs, spans.select("doc_id", "start", "length"), "left").transform(map_batches, rows, ddl)
 
 
 def _split_kept(raw: bytes | None, asked) -> tuple[list[bytes], list[bytes]]:
@@ -239,13 +238,14 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     text that is all repeats becomes empty.
     """
     spans = repeated_spans(docs, **options).select("doc_id", "start", "length")
-    lists = staged(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("__asked")), "substrings-asked")
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("__asked"))
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, asked: pd.Series) -> pd.Series:
         return pd.Series([t if a is None or t is None else _kept_text(t.encode(), a).decode() for t, a in zip(text, asked, strict=True)], dtype=object)
 
-    new = sized_join(docs, lists, "doc_id", "left", row_bytes=200).withColumn("text", cut("text", "__asked"))
+    new = docs.join(lists, "doc_id", "left").withColumn("text", cut("text", "__asked"))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("__asked").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return new.select(*docs.columns)
