@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import words as W
-from textmill.llm.runtime import map_batches
+from textmill.llm.runtime import hashed_sample, map_batches
 
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
@@ -138,8 +138,9 @@ def sample_of(docs: DataFrame, learns: Column, *, sample_rows: int = SAMPLE_ROWS
     chars = F.length("text")
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(chars - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     rows = (
-        docs.where(learns & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
-        .select(F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("passage"), "lang")
+        hashed_sample(docs.where(learns & F.col("lang").isNotNull()), "doc_id", sample_rows, 5)
+        .where(F.col("text").rlike(r"\p{L}"))
+        .select("h", "doc_id", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("passage"), "lang")
         .orderBy("h", "doc_id", "passage", "lang")
         .limit(sample_rows)
         .toPandas()

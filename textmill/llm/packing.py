@@ -30,7 +30,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 END_ID = 2
 #: Distinct chunks of text whose ids a worker remembers; it then starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Sequence numbers of a task.
 TASK_SHIFT = 34
 
@@ -106,25 +106,26 @@ class ChunkTokenizer:
         joined = [c for c in chunks if c not in self.number]
         self._remember(joined, [self._ids(c[:-1]) + self._ids(c[-1]) for c in joined])
 
-    def encode(self, text: str) -> np.ndarray:
-        if text.isascii():
-            text = text.lower()
-        chunks = text.split() if _ODD.search(text) is None else _CHUNK.findall(text)
-        number = self.number
-        try:
-            at = [number[c] for c in chunks]
-        except KeyError:
-            if len(number) > REMEMBERED:
-                self.forget()
-                number = self.number
-            self._learn([c for c in dict.fromkeys(chunks) if c not in number])
-            at = [number[c] for c in chunks]
-        at = np.array(at, dtype=np.int64)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the new chunks of all are encoded together."""
+        chunks: list[str] = []
+        counts = np.zeros(len(texts) + 1, dtype=np.int64)
+        for k, text in enumerate(texts, 1):
+            if text.isascii():
+                text = text.lower()
+            chunks += text.split() if _ODD.search(text) is None else _CHUNK.findall(text)
+            counts[k] = len(chunks)
+        new = set(chunks).difference(self.number)
+        if len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = set(chunks)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.begins[at] - (ends - lengths), lengths) + np.arange(total)
-        return self.ids[source]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.begins[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return np.split(ids, ends[counts[1:-1]]) if texts else []
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -213,8 +214,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                packer.add(doc, np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id)))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                packer.add(doc, np.append(ids, np.uint32(end_id)))
                 if len(packer.out) >= 20_000:
                     yield rows()
         packer.finish()

@@ -46,3 +46,12 @@ def map_batches(df: DataFrame, function, ddl: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def hashed_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """df with h, cut to the share of hashes that holds about twice `rows` rows: what is then ordered and limited is small in every task."""
+    n = df.count()
+    marked = df.withColumn("h", F.xxhash64(key, F.lit(seed)))
+    if n <= 2 * rows:
+        return marked
+    return marked.where(F.pmod("h", F.lit(1 << 30)) < int(2 * rows / n * (1 << 30)))
