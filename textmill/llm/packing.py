@@ -30,12 +30,14 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 END_ID = 2
 #: Distinct chunks of text whose ids a worker remembers; it then starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Sequence numbers of a task.
 TASK_SHIFT = 34
 
 #: What str.split() takes for white space beyond the tokenizer's own, and runs without the latter.
 _ODD = re.compile("[\x1c-\x1f]")
+#: A full stop or comma after a letter or digit begins a token, so a blank before it changes no ids.
+_MARK = re.compile(r"(?<=[^\W_])([.,])")
 _CHUNK = re.compile("[^\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 PIECES = (
@@ -94,18 +96,6 @@ class ChunkTokenizer:
         self.used = used + len(ids)
         self.number.update(zip(chunks, range(at, at + len(found)), strict=True))
 
-    def _ids(self, chunk: str) -> list[int]:
-        at = self.number[chunk]
-        return self.ids[self.begins[at] : self.begins[at] + self.lengths[at]].tolist()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """A full stop or comma after a letter or digit is a token of its own, so such chunks are put together."""
-        parts = [(c[:-1], c[-1]) if c[-1] in ".," and len(c) > 1 and c[-2].isalnum() else (c, "") for c in chunks]
-        cores = [a for a in dict.fromkeys([*(a for a, _ in parts), ".", ","]) if a not in self.number]
-        self._remember(cores, self._encoded(cores))
-        joined = [c for c in chunks if c not in self.number]
-        self._remember(joined, [self._ids(c[:-1]) + self._ids(c[-1]) for c in joined])
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the new chunks of all are encoded together."""
         chunks: list[str] = []
@@ -113,6 +103,7 @@ class ChunkTokenizer:
         for k, text in enumerate(texts, 1):
             if text.isascii():
                 text = text.lower()
+            text = _MARK.sub(r" \1", text)
             chunks += text.split() if _ODD.search(text) is None else _CHUNK.findall(text)
             counts[k] = len(chunks)
         new = set(chunks).difference(self.number)
@@ -120,7 +111,8 @@ class ChunkTokenizer:
             self.forget()
             new = set(chunks)
         if new:
-            self._learn(list(new))
+            found = list(new)
+            self._remember(found, self._encoded(found))
         at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])

@@ -110,5 +110,6 @@ def document_totals(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     deletes = change(gone, "delete", "words", None).unionByName(change(gone, "delete", "letters", None))
     rollup.commit(2, deletes)
     rollup.commit(2, deletes)
-    rollup.commit(3, change(docs.join(poor, "doc_id", "left_semi"), "revise", "words", LETTERS))
+    # counted before the join, so that no text is shuffled
+    rollup.commit(3, change(docs, "revise", "words", LETTERS).join(poor, "doc_id", "left_semi"))
     return rollup.totals()
