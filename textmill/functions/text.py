@@ -10,7 +10,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -230,3 +230,14 @@ def redact(text: Column | str) -> Column:
         flags.append(F.when(after != t, F.lit(kind)))
         t = after
     return F.struct(t.alias("text"), F.array_sort(F.array_compact(F.array(*flags))).alias("flags"))
+
+
+def with_redacted(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with redact(text) as column name; each kind is a projection of its own, so that it is computed once."""
+    steps = [text]
+    for kind in PERSONAL:
+        steps.append(f"__{kind}")
+        df = df.withColumn(steps[-1], _redacted(F.col(steps[-2]), kind))
+    flags = [F.when(F.col(after) != F.col(before), F.lit(kind)) for before, after, kind in zip(steps, steps[1:], PERSONAL, strict=False)]
+    found = F.struct(F.col(steps[-1]).alias("text"), F.array_sort(F.array_compact(F.array(*flags))).alias("flags"))
+    return df.withColumn(name, found).drop(*steps[1:])

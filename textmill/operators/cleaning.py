@@ -68,7 +68,7 @@ def judge(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), *, norm
     ]
     judged = first.withColumn("reject_reason", T.first_reason(reasons))
     if redact:
-        judged = judged.withColumn("__redacted", T.redact("text")).withColumn("text", F.col("__redacted.text"))
+        judged = T.with_redacted(judged, "text", "__redacted").withColumn("text", F.col("__redacted.text"))
         again = T.first_reason([(c, f"{n}_after_redaction") for c, n in T.length_reasons("text", policy.length)])
         judged = judged.withColumn("reject_reason", F.coalesce("reject_reason", again))
         flags = F.col("__redacted.flags")

@@ -56,7 +56,7 @@ def language_scores(spark, sf):
 
 
 def personal_data(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.redact(F.coalesce("text", F.lit(""))).alias("r")).select("doc_id", F.array_join("r.flags", ",").alias("flags"), H.sha256("r.text").alias("redacted_sha256"))
+    return T.with_redacted(_docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "r").select("doc_id", F.array_join("r.flags", ",").alias("flags"), H.sha256("r.text").alias("redacted_sha256"))
 
 
 def exact_dedup(spark, sf):
