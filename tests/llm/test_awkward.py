@@ -125,3 +125,24 @@ def test_similar_groups_match_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_similar_finds_copies_cut_short_or_appended_to(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = []
+    for k in range(120):
+        n = (60, 200, 700, 2500)[k % 4]
+        base = [f"v{rng.randrange(3000)}" for _ in range(n)]
+        other = base[: int(0.83 * n)] if k % 3 else base + [f"x{rng.randrange(3000)}" for _ in range(int(0.22 * n))]
+        pairs.append((" ".join(base), " ".join(other)))
+    near = set()
+    for k, pair in enumerate(pairs):
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in pair)
+        if len(a & b) >= 0.8 * len(a | b):
+            near.add(k)
+    docs = spark.createDataFrame([(2 * k + i, t) for k, pair in enumerate(pairs) for i, t in enumerate(pair)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert len(near) > 100
+    assert got == {d: d - d % 2 if d // 2 in near else d for d in got}
