@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,22 @@ class _Draw:
     def hit(self, place: int) -> bool:
         return self.at(place) < self.severity
 
-
-def _each_char(text: str, change) -> str:
-    return "".join(change(k, c) for k, c in enumerate(text))
+    def hits(self, n: int) -> list[int]:
+        """The places under n that are drawn; for places as many as characters, all drawn at once."""
+        start = int.from_bytes(hashlib.blake2b(self.key.encode(), digest_size=8).digest(), "big")
+        x = np.uint64(start) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.flatnonzero(((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53 < self.severity).tolist()
+
+
+def _each_char(text: str, change, draw: _Draw) -> str:
+    """Change the characters that are drawn."""
+    out, at = [], 0
+    for k in draw.hits(len(text)):
+        out += [text[at:k], change(text[k])]
+        at = k + 1
+    return "".join([*out, text[at:]])
 
 
 def _each_word(text: str, eligible, change, draw: _Draw) -> str:
@@ -64,13 +78,13 @@ def attacked(text: str, attack: str, key: str, severity: float) -> str:
     """text under an attack; severity is the chance of every eligible position."""
     draw = _Draw(key, severity)
     if attack == "whitespace_perturb":
-        return _each_char(text, lambda k, c: c * 2 if c == " " and draw.hit(k) else c)
+        return _each_char(text, lambda c: c * 2 if c == " " else c, draw)
     if attack == "zero_width_insert":
-        return _each_char(text, lambda k, c: c + "​" if draw.hit(k) else c)
+        return _each_char(text, lambda c: c + "​", draw)
     if attack == "homoglyph_substitute":
-        return _each_char(text, lambda k, c: HOMOGLYPHS[c] if c in HOMOGLYPHS and draw.hit(k) else c)
+        return _each_char(text, lambda c: HOMOGLYPHS.get(c, c), draw)
     if attack == "case_perturb":
-        return _each_char(text, lambda k, c: (c.upper() if c.islower() else c.lower()) if draw.hit(k) else c)
+        return _each_char(text, lambda c: c.upper() if c.islower() else c.lower(), draw)
     if attack == "synonym_swap":
         return _each_word(text, SYNONYMS.__contains__, _synonym, draw)
     if attack == "article_deletion":
@@ -95,6 +109,8 @@ def attack_matrix(docs: DataFrame, attacks: dict[str, tuple[float, ...]] = SEVER
     def run(text: pd.Series, attack: pd.Series, key: pd.Series, severity: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else attacked(t, a, k, s) for t, a, k, s in zip(text, attack, key, severity, strict=True)], dtype=object)
 
+    # whole texts: batches bounded by bytes
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     plan = F.explode(F.array(*[F.struct(F.lit(a).alias("attack"), F.lit(float(s)).alias("severity")) for a, each in attacks.items() for s in each]))
     rows = docs.select("doc_id", "text", plan.alias("p")).select("doc_id", "text", "p.attack", "p.severity")
     key = F.concat_ws("|", F.col("doc_id").cast("string"), "attack", F.col("severity").cast("string"))

@@ -180,8 +180,7 @@ def quotes(spark, sf):
 
 
 def attack_report(spark, sf):
-    docs = _docs(spark, sf).where("lang = 'en' and n_chars < 2000").select("doc_id", "text")
-    made = attacks.attack_matrix(docs).withColumn("s", F.length("attacked") % 101 / 101.0)
+    made = attacks.attack_matrix(_docs(spark, sf).select("doc_id", "text")).withColumn("s", F.length("attacked") % 101 / 101.0)
     return attacks.attack_report(made, 0.5)
 
 
