@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from textmill.functions import attacks, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
+from textmill.llm.runtime import staged
 from textmill.operators import audits, cleaning, dedup, lake, metrics, mining, sampling
 from textmill.sources import readers
 
-FLAGSHIP = "cleaning_funnel"
+FLAGSHIP = "whole_cleaning_funnel"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +34,16 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaning_funnel(spark, sf):
-    judged = cleaning.judge(_records(spark, sf), normalise=False, redact=False)
+    """The stages that SQL can follow: without normalisation and redaction; see whole_cleaning_funnel."""
+    return _funnel(cleaning.judge(_records(spark, sf), normalise=False, redact=False))
+
+
+def whole_cleaning_funnel(spark, sf):
+    """The funnel with all its stages; judged rows are written first, so that none is judged again for each use."""
+    return _funnel(staged(cleaning.judge(_records(spark, sf)), "funnel-judged"))
+
+
+def _funnel(judged: DataFrame) -> DataFrame:
     kept = cleaning.documents_of(judged)
     first = dedup.first_of_content(kept).groupBy(F.lit("kept").alias("reason"), "split").agg(F.count(F.lit(1)).alias("n"))
     gone = judged.where("reject_reason is not null").groupBy(F.col("reject_reason").alias("reason"), F.lit(None).cast("string").alias("split")).agg(F.count(F.lit(1)).alias("n"))
@@ -139,10 +149,17 @@ def cluster_selection(spark, sf):
 
 
 def exact_contamination(spark, sf):
+    """Odd documents against even ones, byte for byte, as its SQL has it; see whole_exact_contamination."""
     docs = _docs(spark, sf).select("doc_id", "text")
     return audits.exact_overlap(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), normalise=False)
 
 
+def whole_exact_contamination(spark, sf):
+    """Benchmark items that some document equals after normalisation: all items against all documents."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    return audits.exact_overlap(_docs(spark, sf).select("doc_id", "text"), items).select(F.col("doc_id").alias("item_id"), "train_id")
+
+
 def contamination(spark, sf):
     docs, items = _docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
     return audits.contamination(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("doc_id"), "text"))
@@ -197,7 +214,7 @@ QUERIES = {f.__name__: f for f in (
     cleaning_funnel, cleaned_documents, text_statistics, language_scores, personal_data, exact_dedup, near_duplicates, split_assignment, shard_sizes,
     regime_rates, fpr_threshold, condition_cost, discordant_pairs, value_drift, group_scores, hash_subsample, labelled_subsample, capped_documents,
     matched_cap, length_bins, interleaved, cluster_selection, exact_contamination, contamination, leaking_groups, unseen_domain, token_windows,
-    role_segments, page_text, quotes, attack_report, source_manifest, cluster_atlas,
+    role_segments, page_text, quotes, attack_report, source_manifest, cluster_atlas, whole_cleaning_funnel, whole_exact_contamination,
 )}
 
 _TEXT = "coalesce(text, '')"
