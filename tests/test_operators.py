@@ -120,14 +120,34 @@ def test_segment_counts(spark):
     assert (r.boundaries_matched, r.boundaries_true, r.boundaries_pred) == (2, 3, 2)
 
 
-def test_attacks():
+def test_attacks(spark):
     text = "The big cat. It can help a lot. However we use it."
-    assert attacks.attacked(text, "synonym_swap", "k", 1.0) == "The large cat. It can assist a lot. Nevertheless we employ it."
-    assert attacks.attacked(text, "article_deletion", "k", 1.0).startswith("big cat.")
-    for name in attacks.SEVERITIES:
-        assert attacks.attacked(text, name, "k", 0.5) == attacks.attacked(text, name, "k", 0.5)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a big-time e-big user's big"), (5, text * 40)], "doc_id long, text string")
+    always = {a: (1.0,) for a in attacks.SEVERITIES}
+    got = {(r.doc_id, r.attack): r.attacked for r in attacks.attack_matrix(docs, always).collect()}
+    assert len(got) == 5 * len(always)
+    assert got[1, "synonym_swap"] == "The large cat. It can assist a lot. Nevertheless we employ it."
+    assert got[1, "article_deletion"] == "big cat. It can help lot. However we use it."
+    assert got[1, "case_perturb"] == text.swapcase()
+    assert got[1, "whitespace_perturb"] == text.replace(" ", "  ")
+    assert got[1, "zero_width_insert"] == "".join(c + "\u200b" for c in text)
+    assert got[1, "paragraph_insert"].count("\n\n") == 3
+    assert sorted(got[1, "sentence_reorder"].split(". ")) != [] and got[1, "sentence_reorder"] != ""
+    assert got[4, "synonym_swap"] == "a big-time e-big user's large"
+    assert {got[2, a] for a in always} == {None} and {got[3, a] for a in always} == {""}
+    half = [(r.doc_id, r.attack, r.severity, r.attacked) for r in attacks.attack_matrix(docs).collect()]
+    assert sorted(half, key=str) == sorted(((r.doc_id, r.attack, r.severity, r.attacked) for r in attacks.attack_matrix(docs.repartition(3)).collect()), key=str)
+    drawn = next(t for d, a, s, t in half if (d, a, s) == (5, "zero_width_insert", 0.05))
+    assert 0.02 < drawn.count("\u200b") / len(text * 40) < 0.08
     with pytest.raises(ValueError):
-        attacks.attacked(text, "none", "k", 0.5)
+        attacks.attack_matrix(docs, {"none": (0.5,)})
+
+
+def test_preserves_meaning(spark):
+    words = " ".join(f"word{k}" for k in range(60))
+    rows = [(words, words), (words, words.replace("o", "о")), (words, words.upper()[::-1]), ("", ""), (words, None), (words, words + " end")]
+    df = spark.createDataFrame(rows, "a string, b string").select(attacks.preserves_meaning("a", "b").alias("ok"))
+    assert [r.ok for r in df.collect()] == [True, True, False, False, False, True]
 
 
 def test_wet(spark, tmp_path):

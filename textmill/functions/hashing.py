@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The salt of splits and their shares of 10,000.
-SPLIT_SALT = "forge-v1"
+#: The default salt of splits; a corpus that was split under another one names it.
+SPLIT_SALT = "split-v1"
+# Shares of splits in 10,000.
 TRAIN_BELOW, VAL_BELOW, SPLIT_RANGE = 8_000, 9_000, 10_000
 
 

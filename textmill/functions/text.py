@@ -21,9 +21,9 @@ TOKEN = rf"[^{SPACE}]+"
 
 # The English function words of the language heuristic, and its full share.
 ENGLISH = (
-    "the and of to in a is that for it with as "
-    "was on be by this are from at or an have not"
-).split()
+    "the", "and", "of", "to", "in", "a", "is", "that", "for", "it", "with", "as",
+    "was", "on", "be", "by", "this", "are", "from", "at", "or", "an", "have", "not",
+)
 FULL_SHARE = 0.25
 
 # Characters that are deleted, and letters that imitate Latin ones.
@@ -49,6 +49,7 @@ PERSONAL = {
 }
 
 
+# The default policies.
 @dataclass(frozen=True)
 class LengthPolicy:
     min_chars: int = 200

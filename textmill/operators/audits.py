@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +73,12 @@ def require_inherited(humans: DataFrame, mirrors: DataFrame) -> None:
 def require_arm(samples: DataFrame, arm: str) -> None:
     """All prompt versions must be one of the arm's family."""
     family = ARM_PROMPTS.get(arm)
-    versions = sorted(r[0] or "unknown" for r in samples.select("prompt_version").distinct().limit(100).collect())
-    if family and versions:
-        if any(not re.fullmatch(rf"{family}_v\d+", v) for v in versions):
-            raise ValueError(f"arm {arm} holds {versions}")
-        if len(versions) > 1:
-            raise ValueError(f"arm {arm} mixes {versions}")
+    if family is None:
+        return
+    version = F.coalesce("prompt_version", F.lit("unknown"))
+    require_empty(samples.where(~version.rlike(rf"\A{family}_v\d+\z")).select("prompt_version").distinct(), f"arm {arm} holds other prompts")
+    ends = samples.agg(F.min(version).alias("first"), F.max(version).alias("last"))
+    require_empty(ends.where("first != last"), f"arm {arm} mixes prompt versions")
 
 
 def require_both_classes(rows: DataFrame, split: str) -> None:

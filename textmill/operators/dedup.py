@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from textmill.operators.tables import checkpointed
 
@@ -128,6 +129,21 @@ def signatures(docs: DataFrame, params: LshParams = LshParams(), key: str = "doc
     return made.withColumnRenamed("key", key)
 
 
+@F.pandas_udf(BooleanType())
+def texts_resemble(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Whether the signatures of two texts agree in a share of at least `least`; false where a text is empty."""
+    p = LshParams()
+    x, y = coefficients(p.permutations)
+    out = []
+    for left, right, share in zip(a, b, least, strict=True):
+        if left == right:
+            out.append(left != "")
+        else:
+            one, two = (minhash(shingle_hashes(t, p.shingle_words), x, y) for t in (left, right))
+            out.append(left != "" and right != "" and bool((one == two).mean() >= share))
+    return pd.Series(out, dtype=bool)
+
+
 def bands(signed: DataFrame, params: LshParams = LshParams()) -> DataFrame:
     """signed with one row for each band: its number and a hash of its part of the signature."""
     rows = params.rows
@@ -210,7 +226,3 @@ def within_distance(hashes: DataFrame, key: str, value: str, max_distance: int =
     near = x.join(y, ["band", "part"]).where((F.col("a") < F.col("b")) & (distance <= max_distance)).select("a", "b", distance.alias("distance")).distinct()
     copies = hashes.join(one.withColumnRenamed(key, "a"), value).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(0).alias("distance"))
     return near.unionByName(copies)
-
-
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import hashing as H
+from textmill.operators.tables import require_empty
 
-SAFE_NAME = re.compile(r"[A-Za-z0-9._-]+")
+SAFE_NAME = r"\A[A-Za-z0-9._-]+\z"
 
 
 def flat(docs: DataFrame) -> DataFrame:
@@ -20,10 +20,7 @@ def flat(docs: DataFrame) -> DataFrame:
 
 def write_lake(docs: DataFrame, root: str, *, mode: str = "append") -> None:
     """Parquet by source and split; refuses sources that cannot be folder names."""
-    names = [r["source"] for r in docs.select("source").distinct().limit(10_001).collect()]
-    bad = [n for n in names if n is None or not SAFE_NAME.fullmatch(n)]
-    if bad:
-        raise ValueError(f"unsafe source names: {bad[:5]}")
+    require_empty(docs.where(~F.coalesce(F.col("source").rlike(SAFE_NAME), F.lit(False))).select("source").distinct(), "unsafe source names")
     rows = flat(docs) if "quality" in docs.columns else docs
     rows.write.mode(mode).partitionBy("source", "split").option("compression", "zstd").parquet(root)
 

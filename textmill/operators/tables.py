@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder in spark.checkpoint.dir; one of this machine only where none is set and everything runs on it, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def checkpointed(df: DataFrame, what: str) -> DataFrame:

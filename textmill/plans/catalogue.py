@@ -1,4 +1,4 @@
-"""All queries of the reference's operators by name, with the SQL that gives the same rows."""
+"""All queries of the core operators by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from textmill.functions import attacks, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
-from textmill.llm.runtime import staged
 from textmill.operators import audits, cleaning, dedup, lake, metrics, mining, sampling
+from textmill.operators.tables import checkpointed
 from textmill.sources import readers
 
 FLAGSHIP = "whole_cleaning_funnel"
@@ -40,7 +40,7 @@ def cleaning_funnel(spark, sf):
 
 def whole_cleaning_funnel(spark, sf):
     """The funnel with all its stages; judged rows are written first, so that none is judged again for each use."""
-    return _funnel(staged(cleaning.judge(_records(spark, sf)), "funnel-judged"))
+    return _funnel(checkpointed(cleaning.judge(_records(spark, sf)), "funnel-judged"))
 
 
 def _funnel(judged: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def quotes(spark, sf):
 
 
 def attack_report(spark, sf):
-    made = attacks.attack_matrix(_docs(spark, sf).select("doc_id", "text")).withColumn("s", F.length("attacked") % 101 / 101.0)
+    made = attacks.attack_matrix(_docs(spark, sf).select("doc_id", "text")).withColumns({"s": F.length("attacked") % 101 / 101.0, "valid": attacks.preserves_meaning("text", "attacked")})
     return attacks.attack_report(made, 0.5)
 
 
