@@ -67,6 +67,23 @@ def test_packing(spark, tiny, docs):
     assert padding <= 4096 * 2
 
 
+def test_token_ids_of_odd_texts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from textmill.llm.packing import ChunkTokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own, rng = Tokenizer.from_file(path), ChunkTokenizer(path), random.Random(11)
+    pieces = ["İ", "İ.", "i̇,", "é", "e\u0301", "क़", "ß", "ẞ.", "word", "Word", "a", "1", ".", ",", " ", "\n", "\x1c", "\u00a0", "\u2009", "'s", "'", "-", "_", "日本", "\U0001f600", "\u0338", "<", "²", "ǅ.", "ﬁ,", "\u200b"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    got = own.encode(texts)
+    want = tok.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w.ids] == []
+
+
 def test_hidden_markov_scores(spark, tiny, docs):
     rows = {r.doc_id: r for r in Q.op4_hmm_scores(spark, tiny).collect()}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
@@ -101,6 +118,17 @@ def test_substrings(spark, tiny, docs):
         assert (rows[d].n_words, rows[d].n_removed, rows[d].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_substrings_of_rows_without_an_id(spark):
+    from textmill.llm.substrings import removal_digest, repeated_spans, without_repeats
+
+    line = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, line, 1), (5, line, 2), (7, "x " + line + " y", 3), (8, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __asked long")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in removal_digest(docs, repeated_spans(docs)).collect()}
+    assert got == {None: (40, 0), 5: (40, 40), 7: (42, 40), 8: (0, 0)}
+    assert {(r.doc_id, r.text, r["__asked"]) for r in without_repeats(docs).collect()} == {(None, line, 1), (5, "", 2), (7, "x y", 3), (8, None, 4)}
+
+
 def test_language(spark, docs):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -36,8 +36,9 @@ TASK_SHIFT = 34
 
 #: What str.split() takes for white space beyond the tokenizer's own, and runs without the latter.
 _ODD = re.compile("[\x1c-\x1f]")
-#: A full stop or comma after a letter or digit begins a token, so a blank before it changes no ids.
-_MARK = re.compile(r"(?<=[^\W_])([.,])")
+#: A full stop or comma after a Latin letter or digit begins a token, so a blank before it changes no ids.  (Not so after
+#: the dotted capital I and some letters of other scripts: normalised, they end in a combining mark, which joins what follows.)
+_MARK = re.compile("(?<=[0-9A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])")
 _CHUNK = re.compile("[^\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 PIECES = (

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm import words as W
@@ -96,8 +96,8 @@ def runs(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 def _asked(docs: DataFrame, asked: DataFrame, how: str = "inner") -> DataFrame:
     """Documents with the list of what is asked of each; a list is no longer than its document has words or sources have spans."""
-    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in asked.columns if c != "doc_id"])).alias("asked"))
-    return docs.select("doc_id", "text").join(lists, "doc_id", how)
+    lists = asked.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct(*[c for c in asked.columns if c != "doc_id"])).alias("asked"))
+    return docs.select("doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("of")), how).drop("of")
 
 
 def _edges(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
@@ -156,8 +156,15 @@ def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     digests = staged(_asked(docs, ask).transform(map_batches, rows, "doc_id long, start int, length int, digest binary"), "substrings-digests").distinct()
-    source = digests.select(F.col("doc_id").alias("src_doc"), F.col("start").alias("src_start"), "length", F.col("digest").alias("src_digest"))
-    return spans.join(digests, ["doc_id", "start", "length"]).join(source, ["src_doc", "src_start", "length"]).where("digest = src_digest").select("doc_id", "start", "length", "src_doc", "src_start")
+
+    def at(name: str) -> DataFrame:
+        return digests.select(*[F.col(c).alias(f"{name}_{c}") for c in digests.columns])
+
+    def same(name: str, doc: str, start: str) -> Column:
+        return F.col(doc).eqNullSafe(F.col(f"{name}_doc_id")) & (F.col(start) == F.col(f"{name}_start")) & (F.col("length") == F.col(f"{name}_length"))
+
+    told = spans.join(at("here"), same("here", "doc_id", "start")).join(at("there"), same("there", "src_doc", "src_start"))
+    return told.where("here_digest = there_digest").select("doc_id", "start", "length", "src_doc", "src_start")
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimizer_words: int = MINIMIZER_WORDS) -> DataFrame:
@@ -166,14 +173,17 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimizer_words: in
     A span's words equal those at (src_doc, src_start), its source; spans of a document
     may overlap.  Words are runs outside ``\\x20 \\x09-\\x0D``, compared byte for byte.
     Null, empty and short texts have no windows.  doc_id is the key of docs: rows that
-    repeat a doc_id are not repeats of each other.  A null doc_id counts as smallest.
+    repeat a doc_id (null among them) are taken for one document, and are no repeats of
+    each other where their windows start at the same place.  A null doc_id counts as
+    smallest.  An empty table gives no rows; other columns are ignored.
     """
     found = runs(docs, window, minimizer_words)
-    often = found.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m")
+    # written, so that both sides of the joins below are plain shuffles, whose hot keys Spark can split
+    often = staged(found.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m"), "substrings-often")
     shared = staged(found.join(often, "m"), "substrings-shared")
     paths = staged(shared.groupBy("m", "c", "n").agg(F.min(F.struct("doc_id", "start")).alias("first")), "substrings-paths")
     whole = shared.join(paths, ["m", "c", "n"]).where(F.struct("doc_id", "start") != F.col("first"))
-    branching = paths.groupBy("m").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("m")
+    branching = staged(paths.groupBy("m").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("m"), "substrings-branching")
     opened = paths.join(branching, "m").select("first.doc_id", "first.start", "n")
     edges = staged(_edges(docs, opened, window), "substrings-edges")
     first = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
@@ -234,18 +244,21 @@ def _kept_text(raw: bytes, asked) -> bytes:
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the words of repeated_spans taken out of their texts, and n_chars (where there is one) of what is left.
 
-    Texts without a repeat, nulls among them, stay as they are, as do all other columns; a
-    text that is all repeats becomes empty.
+    Texts without a repeat, nulls among them, stay as they are, as do all other columns,
+    whatever their names; a text that is all repeats becomes empty.  Rows that repeat a
+    doc_id are cut alike.  An empty table stays empty.
     """
-    spans = repeated_spans(docs, **options).select("doc_id", "start", "length")
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("__asked"))
+    spans = repeated_spans(docs, **options)
+    # a name that no column of docs has
+    asked = "asked_" + "_".join(docs.columns)
+    lists = spans.groupBy(F.col("doc_id").alias(f"{asked}_of")).agg(F.collect_list(F.struct("start", "length")).alias(asked))
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, asked: pd.Series) -> pd.Series:
         return pd.Series([t if a is None or t is None else _kept_text(t.encode(), a).decode() for t, a in zip(text, asked, strict=True)], dtype=object)
 
-    new = docs.join(lists, "doc_id", "left").withColumn("text", cut("text", "__asked"))
+    new = docs.join(lists, F.col("doc_id").eqNullSafe(F.col(f"{asked}_of")), "left").withColumn("text", cut("text", asked))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__asked").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        new = new.withColumn("n_chars", F.when(F.col(asked).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return new.select(*docs.columns)
