@@ -1,12 +1,22 @@
 """Benchmark decontamination: BM25 with block-max WAND over an inverted index of test items.
 
 The index holds the test items; every passage of every training document is a query.
-Terms are runs of letters and digits, lower-cased.  A passage's upper bound in a block
-of items is the sum of its terms' largest impacts there; blocks whose bound is under
-every threshold in them are skipped, the items of the others are scored in full, and all
-items at or above their threshold are retrieved.  An item's threshold is a share of the
-score that it gives to itself.  Retrieved items are verified on the words: enough of the
-question's and of the answer's word shingles must stand in the document near the passage.
+Terms are runs of letters and digits, lower-cased.  Spark counts terms, document
+frequencies and lengths over all items and writes the postings (term, item, impact).  An
+item's threshold is a share of the score that it gives to itself, and impacts are divided
+by it, so that an item is retrieved where its impacts add up to 1.
+
+Items are numbered by length and stand in blocks of FANOUT, these in blocks of FANOUT
+blocks, and so on.  Every posting list has the largest impact of its term in each block.
+A passage whose terms' largest impacts together stay under 1 has no pivot and is skipped;
+others descend block by block, always into those alone whose maxima reach 1, down to the
+items, all of which are retrieved.  Retrieved items are verified on the words: enough of
+the question's and of the answer's word shingles must stand in the document near the
+passage.
+
+What is broadcast is one part of the index: PART_POSTINGS postings at most, and those of
+one more item.  More items make more parts, each with the statistics of all, so scores and
+results do not depend on the number of parts; documents are read once for each.
 """
 
 from __future__ import annotations
@@ -18,21 +28,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm import words as W
-from textmill.llm.runtime import bound_batches, map_batches
+from textmill.llm.runtime import bound_batches, map_batches, staged
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+FANOUT = 64
 #: Share of an item's own score from which it is retrieved, and shares of shingles from which it is a leak.
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.5, 0.5
 SHINGLE = 5
 #: Words of half a passage at least; two halves make a passage, so neighbouring passages share one.
 HALF = 64
-#: Items of one index at most; more items are searched in several indexes, one after the other.
-INDEX_ITEMS = 20_000
+#: Postings of one part of the index (some 50 bytes each, with blocks and shingles).
+PART_POSTINGS = 2_000_000
+#: What sums of impacts may fall short of 1 by rounding.
+_ROUNDING = 1e-9
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -47,61 +59,178 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
-def _shingles(hashes: np.ndarray) -> np.ndarray:
+def _shingles(text: str) -> np.ndarray:
     """Distinct hashes of the word shingles; fewer words than a shingle are one."""
+    hashes = _terms([text]).hashes()
     return np.unique(W.grams(hashes, min(SHINGLE, len(hashes)))) if len(hashes) else hashes
 
 
+ITEM = "item_id long, length long, terms array<long>, tf array<long>, question array<long>, answer array<long>"
+
+
+def _parsed(benchmark: DataFrame) -> DataFrame:
+    """ITEM rows of the items that have a term."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("item_id", pa.int64()), ("length", pa.int64()), ("terms", longs), ("tf", longs), ("question", longs), ("answer", longs)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hashes = _terms([text]).hashes() if text else ()
+                if len(hashes):
+                    term, tf = np.unique(hashes, return_counts=True)
+                    sides = [_shingles(x).view(np.int64) for x in question_and_answer(text)]
+                    out.append((item, len(hashes), term.view(np.int64), tf, *sides))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return benchmark.select("item_id", "text").transform(map_batches, rows, ITEM)
+
+
 @dataclass
 class Index:
-    """Impacts (terms, items) in blocks of items, their largest in each block, and what verification needs."""
+    """One part of the inverted index.
+
+    Level 0 is the postings: term, item (its number in the part) and impact, by term and
+    item; each level above has the largest impact of a term in a block of FANOUT numbers of
+    the level below, up to one with FANOUT blocks at most.  children: where an entry's
+    entries of the level below begin.
+    """
 
     items: np.ndarray
-    terms: np.ndarray
-    impact: np.ndarray
-    block_max: np.ndarray
     threshold: np.ndarray
-    block_threshold: np.ndarray
     length: np.ndarray
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
-
-    @property
-    def half(self) -> int:
-        return max(HALF, int(self.length.max(initial=0)))
-
-
-def build(items: list[tuple[int, str]], retrieve: float = RETRIEVE) -> Index | None:
-    """The index of (item_id, text); items without a term are left out."""
-    words = _terms([t for _, t in items]) if items else None
-    keep = [i for i in range(len(items)) if words and (words.row == i).any()]
-    if not keep:
-        return None
-    hashes = words.hashes()
-    own = [hashes[words.row == i] for i in keep]
-    terms = np.unique(np.concatenate(own))
-    length = np.array([len(x) for x in own])
-    blocks = -(-len(keep) // BLOCK)
-    tf = np.zeros((len(terms), blocks * BLOCK), dtype=np.float32)
-    for i, x in enumerate(own):
-        np.add.at(tf[:, i], np.searchsorted(terms, x), 1)
-    df = (tf > 0).sum(axis=1)
-    idf = np.log(1 + (len(keep) - df + 0.5) / (df + 0.5)).astype(np.float32)
-    norm = np.ones(blocks * BLOCK, np.float32)
-    norm[: len(keep)] = K1 * (1 - B + B * length / length.mean())
-    impact = idf[:, None] * tf * (K1 + 1) / (tf + norm)
-    threshold = np.full(blocks * BLOCK, np.inf, np.float32)
-    threshold[: len(keep)] = retrieve * impact.sum(axis=0)[: len(keep)]
-    halves = [question_and_answer(items[i][1]) for i in keep]
+    half: int
+    terms: np.ndarray
+    largest: np.ndarray
+    term: list[np.ndarray]
+    number: list[np.ndarray]
+    impact: list[np.ndarray]
+    children: list[np.ndarray]
+    question: tuple[np.ndarray, np.ndarray]
+    answer: tuple[np.ndarray, np.ndarray]
+
+    def width(self, level: int) -> int:
+        """Numbers of a level."""
+        return (len(self.items) - 1) // FANOUT**level + 1
+
+
+def _levels(term: np.ndarray, item: np.ndarray, impact: np.ndarray, items: int) -> tuple[list[np.ndarray], ...]:
+    terms, numbers, impacts, children = [term], [item], [impact], [np.zeros(0, np.int64)]
+    while (items - 1) // FANOUT ** (len(terms) - 1) + 1 > FANOUT or len(terms) == 1:
+        block = numbers[-1] // FANOUT
+        begin = np.flatnonzero((np.diff(terms[-1], prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        children.append(np.append(begin, len(block)))
+        impacts.append(np.maximum.reduceat(impacts[-1], begin))
+        numbers.append(block[begin])
+        terms.append(terms[-1][begin])
+    return terms, numbers, impacts, children
+
+
+def indexes(benchmark: DataFrame, retrieve: float = RETRIEVE, part_postings: int = PART_POSTINGS) -> Iterator[Index]:
+    """The parts of the index of all items, one after the other."""
+    # numbered by length: blocks hold items of like length, which makes their maxima tight
+    ordered = _parsed(benchmark).orderBy("length", "item_id", "terms")
+    items = staged(ordered.withColumn("number", F.monotonically_increasing_id()), "leak-items")
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
+    if not size["n"]:
+        return
+    postings = items.select("number", "length", F.explode(F.arrays_zip("terms", "tf")).alias("p")).select("number", "length", F.col("p.terms").alias("term"), F.col("p.tf").alias("tf"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("length") / size["mean"])
+    weighed = staged(postings.join(df, "term").select("number", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("impact")), "leak-postings")
+    own = weighed.groupBy("number").agg((retrieve * F.sum("impact")).alias("threshold"))
+    # running sums of postings: within runs of numbers, and over the runs before
+    n = F.size("terms")
+    run = F.shiftright("number", 10)
+    runs = items.groupBy(run.alias("run")).agg(F.sum(n).alias("n"))
+    ahead = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("ahead"))
+    within = F.sum(n).over(Window.partitionBy("run").orderBy("number")) - n
+    placed = items.withColumn("run", run).withColumn("within", within).join(ahead, "run")
+    placed = placed.withColumn("part", F.floor((F.col("ahead") + F.col("within")) / part_postings).cast("int")).drop("run", "within", "ahead")
+    placed = staged(placed.join(own, "number"), "leak-parts")
+    for r in placed.select("part").distinct().orderBy("part").collect():
+        part = placed.where(F.col("part") == r["part"])
+        yield _part(part, weighed.join(part.select("number"), "number", "left_semi"), max(HALF, size["longest"]))
+
+
+def _part(items: DataFrame, postings: DataFrame, half: int) -> Index:
+    """The arrays of one part, whose rows Spark has bounded."""
+    rows = items.select("number", "item_id", "length", "threshold", "question", "answer").toArrow().sort_by("number").combine_chunks()
+    number, threshold = (rows[c].to_numpy() for c in ("number", "threshold"))
+    found = postings.toArrow()
+    term, impact = found["term"].to_numpy().view(np.uint64), found["impact"].to_numpy()
+    item = np.searchsorted(number, found["number"].to_numpy())
+    terms, at = np.unique(term, return_inverse=True)
+    order = np.lexsort((item, at))
+    term, item, impact = at[order].astype(np.int32), item[order].astype(np.int32), (impact / threshold[item])[order]
+    levels = _levels(term, item, impact, len(number))
+    largest = np.maximum.reduceat(impact, np.flatnonzero(np.diff(term, prepend=-1)))
     sides = []
-    for side in zip(*halves, strict=True):
-        w = _terms(list(side))
-        h = w.hashes()
-        sides.append([_shingles(h[w.row == i]) for i in range(len(side))])
-    by_block = impact.reshape(len(terms), blocks, BLOCK)
-    return Index(
-        np.array([items[i][0] for i in keep]), terms, impact, by_block.max(axis=2), threshold, threshold.reshape(blocks, BLOCK).min(axis=1), length, *sides
-    )
+    for side in ("question", "answer"):
+        lists = rows[side].combine_chunks()
+        sides.append((np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()))
+    items_ = rows["item_id"].to_numpy(zero_copy_only=False) if not rows["item_id"].null_count else np.array(rows["item_id"].to_pylist(), dtype=object)
+    return Index(items_, threshold, rows["length"].to_numpy(), half, terms, largest, *levels, *sides)
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def retrieve_items(index: Index, holder: np.ndarray, term: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item, score) of all items that a passage retrieves; the score is the BM25 sum.
+
+    holder and term are the distinct terms of each half passage, by half; passage p is half
+    p and, where it follows, half p + 1.
+    """
+    halves, none = len(follows), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    bound = np.append(np.bincount(holder, index.largest[term], minlength=halves), 0.0)
+    alive = bound[:-1] + bound[1:] * follows >= 1 - _ROUNDING
+    if not alive.any():
+        return none
+    # entries of the top level, for halves of passages that are still in question
+    top = len(index.term) - 1
+    width = index.width(top)
+    wanted = alive | np.append(False, (alive & follows)[:-1])
+    holder_, term_ = holder[wanted[holder]], term[wanted[holder]]
+    edges = np.searchsorted(index.term[top], np.arange(len(index.terms) + 1))
+    count = edges[term_ + 1] - edges[term_]
+    at = _ranges(edges[term_], count)
+    key = np.repeat(holder_, count) * width + index.number[top][at]
+    sums = np.concatenate([np.bincount(key, index.impact[top][at], minlength=halves * width).reshape(halves, width), np.zeros((1, width))])
+    passage, number = np.nonzero((sums[:-1] + sums[1:] * follows[:, None] >= 1 - _ROUNDING) & alive[:, None])
+    if not len(passage):
+        return none
+    # the distinct terms of each passage that is left, and their entries in its blocks
+    first = np.searchsorted(holder, np.arange(halves + 2))
+    distinct = np.unique(passage)
+    ends = first[distinct + 1 + follows[distinct]]
+    pairs = np.repeat(distinct, ends - first[distinct]), term[_ranges(first[distinct], ends - first[distinct])]
+    pairs = np.unique(pairs[0] * len(index.terms) + pairs[1])
+    own, term = pairs // len(index.terms), pairs % len(index.terms)
+    begin, count = np.searchsorted(own, passage), np.searchsorted(own, passage, side="right") - np.searchsorted(own, passage)
+    which = np.repeat(np.arange(len(passage)), count)
+    asked = term[_ranges(begin, count)].astype(np.int64) * width + number[which]
+    keys = index.term[top].astype(np.int64) * width + index.number[top]
+    entry = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = keys[entry] == asked
+    entry, which = entry[hit], passage[which[hit]]
+    for level in range(top - 1, -1, -1):
+        child = index.children[level + 1]
+        count = child[entry + 1] - child[entry]
+        which, entry = np.repeat(which, count), _ranges(child[entry], count)
+        key = which * index.width(level) + index.number[level][entry]
+        nodes, at = np.unique(key, return_inverse=True)
+        sums = np.bincount(at, index.impact[level][entry])
+        keep = (sums >= 1 - _ROUNDING)[at]
+        which, entry = which[keep], entry[keep]
+    nodes, sums = nodes[sums >= 1 - _ROUNDING], sums[sums >= 1 - _ROUNDING]
+    passage, item = nodes // len(index.items), nodes % len(index.items)
+    return passage, item, sums * index.threshold[item]
 
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray, question: float, answer: float) -> list[tuple]:
@@ -119,27 +248,17 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, question: float,
     hit = index.terms[at] == hashes
     size = len(index.terms)
     pairs = np.unique(chunk[hit] * size + at[hit])
-    holder, term = pairs // size, pairs % size
-    bound = np.zeros((len(chunk_row) + 1, index.block_max.shape[1]), np.float32)
-    if len(pairs):
-        starts = np.flatnonzero(np.diff(holder, prepend=-1))
-        bound[holder[starts]] = np.add.reduceat(index.block_max[term], starts, axis=0)
     follows = np.append(chunk_row[1:] == chunk_row[:-1], False)
-    passages, blocks = np.nonzero(bound[:-1] + bound[1:] * follows[:, None] >= index.block_threshold)
-    edges = np.searchsorted(holder, np.arange(len(chunk_row) + 2))
     best: dict[tuple[int, int], tuple] = {}
-    for p, b in zip(passages.tolist(), blocks.tolist(), strict=True):
-        seen = np.unique(term[edges[p] : edges[p + 1 + follows[p]]])
-        scores = index.impact[seen, b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-        for i in (np.flatnonzero(scores >= index.threshold[b * BLOCK : (b + 1) * BLOCK]) + b * BLOCK).tolist():
-            row = int(chunk_row[p])
-            start = first[row] + (p - begin_of[row]) * half
-            lo, hi = max(first[row], start - index.length[i]), min(first[row + 1], start + 2 * half + index.length[i])
-            q, a = _share(index.question[i], hashes[lo:hi]), _share(index.answer[i], hashes[lo:hi])
-            found = (float(scores[i - b * BLOCK]), q, a, int(start - first[row]), int(min(2 * half, first[row + 1] - start)))
-            if q >= question and a >= answer and found > best.get((row, i), ()):
-                best[row, i] = found
-    return [(row, int(index.items[i]), *found) for (row, i), found in sorted(best.items())]
+    for p, i, score in zip(*(x.tolist() for x in retrieve_items(index, pairs // size, pairs % size, follows)), strict=True):
+        row = int(chunk_row[p])
+        start = first[row] + (p - begin_of[row]) * half
+        lo, hi = max(first[row], start - index.length[i]), min(first[row + 1], start + 2 * half + index.length[i])
+        q, a = (_share(values[ends[i] : ends[i + 1]], hashes[lo:hi]) for values, ends in (index.question, index.answer))
+        found = (score, q, a, int(start - first[row]), int(min(2 * half, first[row + 1] - start)))
+        if q >= question and a >= answer and found > best.get((row, i), ()):
+            best[row, i] = found
+    return [(row, index.items[i], *found) for (row, i), found in sorted(best.items())]
 
 
 def _share(shingles: np.ndarray, hashes: np.ndarray) -> float:
@@ -154,31 +273,22 @@ def _share(shingles: np.ndarray, hashes: np.ndarray) -> float:
 LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, passage_words long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, question: float = QUESTION, answer: float = ANSWER, retrieve: float = RETRIEVE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, question: float = QUESTION, answer: float = ANSWER, retrieve: float = RETRIEVE, part_postings: int = PART_POSTINGS) -> DataFrame:
     """One row for each document and test item that it leaks, with the best passage.
 
     Whole texts are searched, where they are read; nothing is shuffled.  Null, empty and
     wordless texts and items have no leaks.  Repeated rows of docs give repeated rows;
-    repeated items are items of their own.  No items or no documents: no rows.  Words of a
-    passage are runs of letters and digits; first_word counts them from 0.
+    repeated items are items of their own; a null doc_id or item_id stays null.  Of
+    passages with equal scores the one with the larger overlaps, then the later, is told.
+    No items or no documents: no rows.  Words of a passage are runs of letters and digits;
+    first_word counts them from 0.  Other columns are ignored.
     """
     found = docs.sparkSession.createDataFrame([], LEAKS)
-    for index in _indexes(benchmark, retrieve):
+    for index in indexes(benchmark, retrieve, part_postings):
         found = found.unionByName(_leaks(docs, index, question, answer))
     return found
 
 
-def _indexes(benchmark: DataFrame, retrieve: float) -> Iterator[Index]:
-    """Indexes of INDEX_ITEMS items or about as many, which together hold every item."""
-    items = benchmark.where("text is not null").select("item_id", "text")
-    parts = -(-items.count() // INDEX_ITEMS)
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        index = build([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))], retrieve)
-        if index is not None:
-            yield index
-
-
 def _leaks(docs: DataFrame, index: Index, question: float, answer: float) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(index)
@@ -198,13 +308,14 @@ def _leaks(docs: DataFrame, index: Index, question: float, answer: float) -> Dat
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, question: float = QUESTION, answer: float = ANSWER, retrieve: float = RETRIEVE) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns.
+    """The rows of docs that leak no item, with all their columns, whatever their names.
 
-    Rows are judged where they are read, so no document is shuffled; null texts stay.
+    Rows are judged where they are read, so no document is shuffled.  Null and empty texts
+    stay, repeated rows stay or go together, and without items all rows stay.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    for index in _indexes(benchmark, retrieve):
+    for index in indexes(benchmark, retrieve):
         docs = docs.where(~_leaky(spark.sparkContext.broadcast(index), question, answer)("text"))
     return docs
 
