@@ -53,9 +53,13 @@ def test_empty(spark, name):
 
 def test_rollup_awkward(spark, tmp_path):
     docs = awkward(spark)
-    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollups.document_totals(docs, _labels(spark), str(tmp_path / "a")).collect()}
-    assert got["b", "en", "words"] == (1, 60_000)
-    assert rollups.document_totals(empty(spark), _labels(spark), str(tmp_path / "b")).collect() == []
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollups.document_totals(docs, _labels(spark), str(tmp_path / "a"), _tokenizer()).collect()}
+    # without rows that have no id, with the repeated row once, and with document 4 gone
+    assert {k: v for k, v in got.items() if k[2] == "words"} == {
+        ("a", "en", "words"): (2, 120), (None, None, "words"): (1, 0), ("a", None, "words"): (1, 0), ("b", "en", "words"): (1, 60_000),
+        ("b", "de", "words"): (1, 62), ("b", "fr", "words"): (1, 6), ("c", "en", "words"): (1, 8),
+    }
+    assert rollups.document_totals(empty(spark), _labels(spark), str(tmp_path / "b"), _tokenizer()).collect() == []
 
 
 def test_rollup_batches_are_idempotent_and_ordered(spark, tmp_path):
@@ -70,6 +74,22 @@ def test_rollup_batches_are_idempotent_and_ordered(spark, tmp_path):
     assert [tuple(x) for x in r.totals(1).collect()] == [("s", "en", "v1", 2, 15)]
 
 
+def test_rollup_of_changes_that_meet(spark, tmp_path):
+    r = rollups.Rollup(spark, str(tmp_path / "r"), compact=2)
+    add = lambda rows: spark.createDataFrame(rows, rollups.CHANGES)
+    r.commit(1, add([("insert", 1, "s", "en", "v", 10), ("insert", 1, "s", "en", "v", 10), ("insert", 2, "s", "en", "v", 4), ("revise", 2, None, None, "v", 5), ("insert", 3, "s", "en", "v", 7), ("delete", 3, None, None, "v", None)]))
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v", 2, 15)]
+    # an insert of what is held puts it in its place; what is not held is neither revised nor deleted
+    r.commit(2, add([("insert", 1, "t", None, "v", 3), ("revise", 9, None, None, "v", 5), ("delete", 8, None, None, "v", None), (None, 1, "s", "en", "v", 1), ("insert", None, "s", "en", "v", 1)]))
+    assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "v", 1, 5), ("t", None, "v", 1, 3)}
+    r.vacuum()
+    r.commit(3, add([("delete", 2, None, None, "v", None), ("delete", 2, None, None, "v", None)]))
+    r.commit(4, add([]))
+    r.commit(5, add([("revise", 1, None, None, "v", None)]))
+    assert {tuple(x) for x in r.totals().collect()} == {("t", None, "v", 1, 0)}
+    assert r._written("snapshot") == [2, 4] and r._written("log") == [3, 4, 5] and r.committed() == 5
+
+
 def test_stages(spark, tmp_path):
     _labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     _items(spark).write.parquet(str(tmp_path / "benchmark.parquet"))

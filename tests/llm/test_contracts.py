@@ -200,17 +200,35 @@ def test_quality_verdicts(spark):
     assert sum(r.kept for r in good) >= 0.95 * len(good)
 
 
-def test_rollup_matches_sql(spark, tiny):
+def test_word_rollup_matches_sql(spark, tiny):
     import duckdb
 
     db = duckdb.connect()
     for t in ("documents", "labels"):
         db.sql(f"create view {t} as select * from '{tiny}/{t}.parquet'")
-    want = Counter(map(tuple, db.sql(Q.ORACLE_SQL["op8_token_rollup"]).fetchall()))
-    got = Counter((r.source, r.lang, r.tokenizer, r.n_docs, r.n_tokens) for r in Q.op8_token_rollup(spark, tiny).collect())
+    want = Counter(map(tuple, db.sql(Q.ORACLE_SQL["op8_word_rollup"]).fetchall()))
+    got = Counter((r.source, r.lang, r.tokenizer, r.n_docs, r.n_tokens) for r in Q.op8_word_rollup(spark, tiny).collect())
     assert got == want
 
 
+def test_token_rollup(spark, tiny, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    labels = spark.read.parquet(f"{tiny}/labels.parquet").collect()
+    toxic, poor = {r.doc_id for r in labels if r.toxic == 1}, {r.doc_id for r in labels if r.quality == 0}
+    want = defaultdict(lambda: [0, 0])
+    for d, r in docs.items():
+        if d not in toxic:
+            each = {"bpe": len(tok.encode(r.text or "", add_special_tokens=False).ids) + (d in poor), "words": len(words(r.text))}
+            for version, n in each.items():
+                total = want[r.source, r.lang, version]
+                total[0], total[1] = total[0] + 1, total[1] + n
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in Q.op8_token_rollup(spark, tiny).collect()}
+    assert got == dict(want)
+
+
 def test_leaks_of_whole_items(spark, tiny, docs):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()}
     rows = Q.op3_decontamination(spark, tiny).collect()

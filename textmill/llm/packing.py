@@ -97,8 +97,8 @@ class ChunkTokenizer:
         self.used = used + len(ids)
         self.number.update(zip(chunks, range(at, at + len(found)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the new chunks of all are encoded together."""
+    def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each chunk, and where each text's chunks end; the new chunks of all are encoded together."""
         chunks: list[str] = []
         counts = np.zeros(len(texts) + 1, dtype=np.int64)
         for k, text in enumerate(texts, 1):
@@ -114,7 +114,16 @@ class ChunkTokenizer:
         if new:
             found = list(new)
             self._remember(found, self._encoded(found))
-        at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks)), counts
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of each text."""
+        at, counts = self._looked_up(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(self.lengths[at])])[counts])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        at, counts = self._looked_up(texts)
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.begins[at] - ends[:-1], lengths) + np.arange(ends[-1])]
@@ -124,7 +133,7 @@ class ChunkTokenizer:
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
-def _tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str) -> ChunkTokenizer:
     """One tokenizer for each worker and vocabulary file."""
     if path not in _tokenizers:
         _tokenizers[path] = ChunkTokenizer(path)
@@ -199,7 +208,7 @@ def pack(
     schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32()}[k]) for n, k in kinds])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(tokenizer_path)
+        encoder = tokenizer(tokenizer_path)
         packer = _Packer(TaskContext.get().partitionId(), tiers, step_tokens)
 
         def rows() -> pa.RecordBatch:

@@ -57,10 +57,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from uuid import uuid4
 
+    import public_tokenizers
+
     from textmill.llm.rollups import document_totals
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return document_totals(documents(spark, sf_dir), labels, f"{shared_dir(spark)}/rollup-{uuid4().hex}")
+    return document_totals(documents(spark, sf_dir), labels, f"{shared_dir(spark)}/rollup-{uuid4().hex}", public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from textmill.llm.rollups import word_totals
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return word_totals(documents(spark, sf_dir), labels, f"{shared_dir(spark)}/rollup-{uuid4().hex}")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +98,11 @@ QUERIES = {
     "op6_licence_scan": op6_licence_scan,
     "op7_language_id": op7_language_id,
     "op8_token_rollup": op8_token_rollup,
+    "op8_word_rollup": op8_word_rollup,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op8_token_rollup": sql.TOKEN_ROLLUP,
+    "op8_word_rollup": sql.TOKEN_ROLLUP,
 }

@@ -2,43 +2,59 @@
 
 A batch of changes (inserts, deletes, revised counts) becomes signed rows of a log, and
 their sums by source, language and tokenizer version are added to the totals before it.
-Every batch has a folder of its own and is committed by a marker that is written last, so
-a batch that is sent again changes nothing, and one that broke off is written anew.
+Every batch has folders of its own and is committed by a marker that is written last, so a
+batch that is sent again changes nothing, and one that broke off is written anew.  Every
+COMPACT batches what the log holds is written as a snapshot, from which later batches
+start; vacuum() deletes the log that a snapshot has replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.packing import tokenizer
+from textmill.llm.runtime import map_batches, staged
+
 KEYS = ("source", "lang", "tokenizer")
 CHANGES = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
 _LOG = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+COMPACT = 8
 
 
 class Rollup:
     """Totals under a shared folder; batches are numbered 1, 2, ... and committed in order."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compact: int = COMPACT):
+        self.spark, self.path, self.compact = spark, path.rstrip("/"), compact
 
-    def _exists(self, path: str) -> bool:
+    def _written(self, what: str) -> list[int]:
+        """Numbers of the folders of a kind that are complete, by one listing."""
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}/*/_SUCCESS")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted(int(f.getPath().getParent().getName()) for f in found or ())
 
     def committed(self) -> int:
         """The number of the last committed batch, 0 before the first."""
-        n = 0
-        while self._exists(f"{self.path}/commit/{n + 1}/_SUCCESS"):
-            n += 1
-        return n
-
-    def log(self, upto: int) -> DataFrame:
-        if upto == 0:
+        return max(self._written("commit"), default=0)
+
+    def held(self, upto: int) -> DataFrame:
+        """What documents count after batch `upto`: the last snapshot and the log since then."""
+        base = max((k for k in self._written("snapshot") if k <= upto), default=0)
+        paths = [f"{self.path}/snapshot/{base}"] if base else []
+        paths += [f"{self.path}/log/{k}" for k in range(base + 1, upto + 1)]
+        if not paths:
             return self.spark.createDataFrame([], _LOG)
-        return self.spark.read.schema(_LOG).parquet(*[f"{self.path}/log/{k}" for k in range(1, upto + 1)])
+        rows = self.spark.read.schema(_LOG).parquet(*paths)
+        if len(paths) == 1:
+            return rows.where("docs > 0")
+        return rows.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0")
 
     def totals(self, at: int | None = None) -> DataFrame:
         """Totals after batch `at`, by default the last; groups without documents are left out."""
@@ -50,66 +66,111 @@ class Rollup:
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply changes as batch number `batch`; False if it had been committed before.
 
-        changes holds CHANGES.  insert adds a document; delete takes out what the log
-        holds of a doc_id and tokenizer, revise replaces its count; both read source and
-        language from the log, and do nothing for documents that the log does not hold.
-        Rows repeated in a batch: each insert counts, deletes and revisions count once
-        (of several revisions the largest count).  A null count is 0; null source or
-        language is a group of its own; a null op, doc_id or tokenizer is left out.  An
-        empty batch is committed and changes nothing.
+        changes holds CHANGES; doc_id and tokenizer are its key.  insert adds a document,
+        or puts it in place of the one held; revise replaces the count, delete takes the
+        document out; both do nothing for documents that are neither held nor inserted.
+        Changes of one key in a batch take effect in this order.  Of several inserts or
+        revisions of a key the largest (source, language, count) counts, so repeated rows
+        count once.  A null count is 0; null source or language is a group of its own; a
+        null op, doc_id or tokenizer is left out.  An empty batch is committed and changes
+        nothing.  A small batch is joined with what is held without moving the latter.
         """
         done = self.committed()
         if batch <= done:
             return False
         if batch != done + 1:
             raise ValueError(f"batch {batch} comes after {done}")
-        changes = changes.where("op is not null and doc_id is not null and tokenizer is not null")
         n = F.coalesce("n_tokens", F.lit(0)).cast("long")
-        inserts = changes.where("op = 'insert'").select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), n.alias("tokens"))
-        edits = changes.where("op in ('delete', 'revise')").groupBy("doc_id", "tokenizer").agg(
-            F.max(F.col("op") == "delete").alias("gone"), F.max(n).alias("revised")
+        net = changes.where("op is not null and doc_id is not null and tokenizer is not null").groupBy("doc_id", "tokenizer").agg(
+            F.max(F.when(F.col("op") == "insert", F.struct("source", "lang", n.alias("tokens")))).alias("new"),
+            F.max(F.when(F.col("op") == "revise", n)).alias("revised"),
+            F.max(F.col("op") == "delete").alias("gone"),
         )
-        held = self.log(done).join(edits, ["doc_id", "tokenizer"]).groupBy("doc_id", *KEYS, "gone", "revised").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0")
-        signed = held.select(
-            "doc_id",
-            *KEYS,
-            F.when(F.col("gone"), -F.col("docs")).otherwise(0).cast("long").alias("docs"),
-            (F.when(F.col("gone"), 0).otherwise(F.col("revised") * F.col("docs")) - F.col("tokens")).cast("long").alias("tokens"),
+        before = self.held(done).select("doc_id", "tokenizer", F.struct("source", "lang", "tokens").alias("old"))
+        both = net.join(before, ["doc_id", "tokenizer"], "left")
+        after = F.coalesce("new", "old")
+        told = F.when(after.isNotNull() & ~F.col("gone"), F.struct(after["source"].alias("source"), after["lang"].alias("lang"), F.coalesce("revised", after["tokens"]).alias("tokens"), F.lit(1).alias("sign")))
+        taken = F.when(F.col("old").isNotNull(), F.struct("old.source", "old.lang", "old.tokens", F.lit(-1).alias("sign")))
+        signed = both.select("doc_id", "tokenizer", F.explode(F.array_compact(F.array(taken, told))).alias("x")).select(
+            "doc_id", "x.source", "x.lang", "tokenizer", F.col("x.sign").cast("long").alias("docs"), (F.col("x.sign") * F.col("x.tokens")).cast("long").alias("tokens")
         )
-        inserts.unionByName(signed).write.mode("overwrite").parquet(f"{self.path}/log/{batch}")
+        signed.write.mode("overwrite").parquet(f"{self.path}/log/{batch}")
         delta = self.spark.read.schema(_LOG).parquet(f"{self.path}/log/{batch}").groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-        after = self.totals(done).unionByName(delta).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
-        after.write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
+        total = self.totals(done).unionByName(delta).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
+        total.write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
+        if batch % self.compact == 0:
+            self.held(batch).write.mode("overwrite").parquet(f"{self.path}/snapshot/{batch}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/commit/{batch}")
         return True
 
+    def vacuum(self) -> None:
+        """Delete the log, snapshots and totals that the last snapshot of a committed batch has replaced."""
+        last = max((k for k in self._written("snapshot") if k <= self.committed()), default=0)
+        jvm = self.spark._jvm
+        for what, below in (("log", last + 1), ("snapshot", last), ("totals", last)):
+            for k in self._written(what):
+                if k < below:
+                    at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}/{k}")
+                    at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-#: Tokenizer versions of the query, as patterns whose matches are counted.
+
+#: Simple tokenizers: patterns whose matches are counted.
 WORDS, LETTERS = r"[^\x20\x09-\x0D]+", r"\p{L}+"
 
 
-def count_of(pattern: str):
-    return F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
+def pattern_counts(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """doc_id, source, lang and a count for each pattern; null texts have none."""
+    return docs.select("doc_id", "source", "lang", *[F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias(name) for name, p in patterns.items()])
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, source, lang, bpe (ids of the tokenizer) and words (between white space) of every row; null texts have none."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("bpe", pa.int64()), ("words", pa.int64())])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokenizer(tokenizer_path)
+        for batch in batches:
+            text = pc.fill_null(batch.column("text"), "")
+            words = pc.count_substring_regex(text, WORDS).cast(pa.int64())
+            kept = [batch.column(c).cast(schema.field(c).type) for c in ("doc_id", "source", "lang")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(encoder.count(text.to_pylist()), pa.int64()), words], schema=schema)
 
-def document_totals(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
-    """A corpus's life in batches: all documents come in under two tokenizer versions, those labelled toxic go, those labelled poor are recounted by their letters' runs; a batch is sent twice."""
-    rollup = Rollup(docs.sparkSession, path)
-    base = ("doc_id", "source", "lang")
+    return docs.select("doc_id", "source", "lang", "text").transform(map_batches, rows, "doc_id long, source string, lang string, bpe long, words long")
 
-    def change(rows: DataFrame, op: str, tokenizer: str, pattern: str | None) -> DataFrame:
-        n = count_of(pattern) if pattern else F.lit(None).cast("long")
-        return rows.select(F.lit(op).alias("op"), *base, F.lit(tokenizer).alias("tokenizer"), n.alias("n_tokens"))
 
+def _lived(counts: DataFrame, labels: DataFrame, path: str, versions: list[str], revised: str, to) -> DataFrame:
+    """Totals after a corpus's life in batches: all documents come in under every version; those labelled toxic go; of those labelled poor, version `revised` is counted anew; a batch is sent twice."""
+    rollup = Rollup(counts.sparkSession, path)
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     poor = labels.where("quality = 0").select("doc_id").distinct()
-    none = [F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
-    gone = toxic.select("doc_id", *none)
-    both = change(docs, "insert", "words", WORDS).unionByName(change(docs, "insert", "letters", LETTERS))
-    rollup.commit(1, both)
-    deletes = change(gone, "delete", "words", None).unionByName(change(gone, "delete", "letters", None))
+
+    def change(rows: DataFrame, op: str, each: dict) -> DataFrame:
+        made = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), n.cast("long").alias("n_tokens")) for v, n in each.items()]))
+        return rows.select(F.lit(op).alias("op"), "doc_id", "source", "lang", made.alias("x")).select("op", "doc_id", "source", "lang", "x.*")
+
+    rollup.commit(1, change(counts, "insert", {v: F.col(v) for v in versions}))
+    none = {c: F.lit(None).cast("string") for c in ("source", "lang")}
+    deletes = change(toxic.withColumns(none), "delete", {v: F.lit(None) for v in versions})
     rollup.commit(2, deletes)
     rollup.commit(2, deletes)
-    # counted before the join, so that no text is shuffled
-    rollup.commit(3, change(docs, "revise", "words", LETTERS).join(poor, "doc_id", "left_semi"))
+    rollup.commit(3, change(counts.join(poor, "doc_id", "left_semi"), "revise", {revised: to}))
     return rollup.totals()
+
+
+def document_totals(docs: DataFrame, labels: DataFrame, path: str, tokenizer_path: str) -> DataFrame:
+    """Totals of documents by source, language and tokenizer version, after inserts, deletes and revisions.
+
+    Versions: ids of the tokenizer, and words between white space.  Texts are read and
+    counted once.  Documents labelled toxic are deleted; those labelled poor are revised to
+    a count with a closing id.  Null and empty texts count 0; rows without a doc_id are left
+    out, and rows that repeat one count once (the one with the largest source, language and
+    count); labels repeated or null do no harm; no documents give no rows.
+    """
+    counts = staged(token_counts(docs, tokenizer_path), "rollup-counts")
+    return _lived(counts, labels, path, ["bpe", "words"], "bpe", F.col("bpe") + 1)
+
+
+def word_totals(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """The same under two simple versions that SQL knows too: words and runs of letters; poor documents' words are recounted as runs of letters."""
+    counts = staged(pattern_counts(docs, {"words": WORDS, "letters": LETTERS}), "rollup-counts")
+    return _lived(counts, labels, path, ["words", "letters"], "words", F.col("letters"))
