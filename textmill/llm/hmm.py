@@ -3,9 +3,14 @@
 Words that are frequent are symbols of their own; all others share a symbol with the
 words of like ending, and inside a symbol a word has its add-one share of the symbol's
 counts, with one share for every word not seen.  Latent states emit symbols.  Baum-Welch
-expectations are added up inside each task, then over tasks by a Spark aggregate; the
-model (symbols x states) has a fixed size.  Texts are scored by the scaled forward
-recursion over their whole token sequence.
+runs over whole texts: expectations are added up inside each task, then over tasks by a
+Spark aggregate; the model (symbols x states) has a fixed size.  The first rounds read a
+fixed share of the training documents, the last ones all of them.  Texts are scored by the
+scaled forward recursion over their whole token sequence.
+
+Long texts are worked on in runs of RUN tokens side by side, without any cut: the product
+of a run's transition and emission matrices leads from its first state to the next run's,
+so every run starts with the forward (and ends with the backward) vector of the whole text.
 
 Word counts cover the whole training corpus and stay in a table.  Only the most frequent
 ones, up to a fixed number, are sent to tasks; what a text's other words count is joined.
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import words as W
-from textmill.llm.runtime import hashed_sample, map_batches, staged
+from textmill.llm.runtime import map_batches, staged
 
 STATES = 8
 #: Symbols shared by words of like ending.
@@ -32,60 +37,59 @@ ENDINGS = 1024
 OWN_SYMBOLS = 8_192
 #: Words whose counts are sent to tasks at most (16 bytes each).
 SENT_WORDS = 1 << 19
-SEGMENT = 64
-#: Segments that the first, random model is improved on before the corpus is read; one of each document taken by hash.
-START_SEGMENTS = 4_000
-START_ROUNDS = 20
-ROUNDS = 2
+#: Tokens of a long text that are worked on in a row; bytes of text that are worked on side by side.
+RUN, SIDE_BY_SIDE = 512, 4 << 20
+#: The share of training documents that the first rounds read, their number at most, and rounds over all documents.
+SHARE, SHARE_ROUNDS, ROUNDS = 16, 12, 3
+#: The first rounds end when the log likelihood gains less than this part of itself.
+GAIN = 5e-4
 END_KEY = np.uint64(0)
 _LOW = np.uint64(ENDINGS - 1)
 
 
-def keys_of(w: W.Words) -> np.ndarray:
-    """A key of each word: the hash, with the number of its ending (last three bytes) in the low bits."""
+def endings_of(w: W.Words) -> np.ndarray:
+    """The number of each word's ending (last three bytes)."""
     length = w.ends - w.starts
     ending = w.data[w.ends - 1].astype(np.uint64)
     for back in (2, 3):
         ending |= np.where(length >= back, w.data[np.maximum(w.ends - back, 0)], 0).astype(np.uint64) << np.uint64(8 * (back - 1))
-    return (w.hashes() & ~_LOW) | (W.mix(ending) & _LOW)
-
-
-def with_ends(keys: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of rows, each closed by the end token, and the first token of each row (and the end)."""
-    count = np.bincount(row, minlength=rows)
-    first = np.concatenate([[0], np.cumsum(count + 1)])
-    out = np.full(first[-1], END_KEY, dtype=np.uint64)
-    out[np.arange(len(keys)) + row] = keys
-    return out, first
+    return (W.mix(ending) & _LOW).astype(np.int32)
 
 
-def tokens(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for a, b, w in W.batches(text, lower=True):
-        yield a, b, *with_ends(keys_of(w), w.row, b - a)
+def tokens(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, keys, endings, first token of each row and the end) of runs of rows; each row is closed by the end token."""
+    for a, b, w in W.batches(text, lower=True, limit=SIDE_BY_SIDE):
+        first = np.concatenate([[0], np.cumsum(np.bincount(w.row, minlength=b - a) + 1)])
+        keys, endings = np.full(first[-1], END_KEY, dtype=np.uint64), np.zeros(first[-1], dtype=np.int32)
+        at = np.arange(len(w.row)) + w.row
+        # the end's key is no word's
+        keys[at], endings[at] = np.maximum(w.hashes(), END_KEY + np.uint64(1)), endings_of(w)
+        yield a, b, keys, endings, first
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """k (key) and c (count) of every token of docs; counts are combined in tasks before the shuffle."""
-    schema = pa.schema([("k", pa.int64()), ("c", pa.int64())])
+    """k (key), g (ending) and c (count) of every token of docs; counts are combined in tasks before the shuffle."""
+    schema = pa.schema([("k", pa.int64()), ("g", pa.int32()), ("c", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
+            k, at, c = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
+            g = np.concatenate([g for _, g in held])[at]
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(g), pa.array(c.astype(np.int64))], schema=schema)
 
         for batch in batches:
-            for _, _, t, _ in tokens(batch.column("text")):
-                held.append(t)
-                size += len(t)
-                if size > 4_000_000:
+            for _, _, keys, endings, _ in tokens(batch.column("text")):
+                held.append((keys, endings))
+                size += len(keys)
+                if size > 2_000_000:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    return docs.select("text").transform(map_batches, rows, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    return docs.select("text").transform(map_batches, rows, "k long, g int, c long").groupBy("k").agg(F.min("g").alias("g"), F.sum("c").alias("c"))
 
 
 @dataclass
@@ -100,14 +104,12 @@ class Model:
     ending_log: np.ndarray
     weight: np.ndarray
     start: np.ndarray
-    after: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, keys: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols, log10(c + 1), and whether the key is among the words sent; others have the symbol of their ending and 0."""
-        symbols = (keys & _LOW).astype(np.int32)
-        logs = np.zeros(len(keys))
+        symbols, logs = endings, np.zeros(len(keys))
         if not len(self.sent):
             return symbols, logs, np.zeros(len(keys), dtype=bool)
         at = np.minimum(np.searchsorted(self.sent, keys), len(self.sent) - 1)
@@ -132,58 +134,149 @@ def vocabulary(counts: DataFrame) -> tuple[Model, int]:
     order = np.argsort(key)
     key, c = key[order], c[order]
     own = np.lexsort((key, -c))[:OWN_SYMBOLS]
-    symbol = (key & _LOW).astype(np.int32)
+    ending = frequent["g"].to_numpy(dtype=np.int32)[order]
+    symbol = ending.copy()
     symbol[own] = ENDINGS + np.arange(len(own), dtype=np.int32)
     by_ending = np.zeros(ENDINGS)
     tokens_of = np.zeros(ENDINGS + OWN_SYMBOLS)
-    low = F.col("k").bitwiseAND(F.lit(ENDINGS - 1)).cast("int")
-    for r in counts.groupBy(low.alias("g")).agg(F.sum(F.col("c") + 1).alias("s"), F.sum("c").alias("c")).collect():
+    for r in counts.groupBy("g").agg(F.sum(F.col("c") + 1).alias("s"), F.sum("c").alias("c")).collect():
         by_ending[r["g"]], tokens_of[r["g"]] = r["s"], r["c"]
-    np.subtract.at(by_ending, (key[own] & _LOW).astype(int), c[own] + 1)
-    np.subtract.at(tokens_of, (key[own] & _LOW).astype(int), c[own])
+    np.subtract.at(by_ending, ending[own], c[own] + 1)
+    np.subtract.at(tokens_of, ending[own], c[own])
     tokens_of[ENDINGS : ENDINGS + len(own)] = c[own]
     weight = (tokens_of + 1) / (total + len(tokens_of))
     k = STATES
     flat = np.full(k, 1 / k)
-    return Model(total, distinct, key, np.log10(c + 1.0), symbol, np.log10(by_ending + 1), weight, flat, flat, np.eye(k), np.repeat(weight[:, None], k, axis=1)), least
+    return Model(total, distinct, key, np.log10(c + 1.0), symbol, np.log10(by_ending + 1), weight, flat, np.eye(k), np.repeat(weight[:, None], k, axis=1)), least
 
 
 @dataclass
 class Expected:
-    """Expected counts of a pass."""
+    """Expected counts of a pass and the log10 likelihood of its texts."""
 
     emit: np.ndarray
     move: np.ndarray
     start: np.ndarray
-    after: np.ndarray
-
-
-def expect(model: Model, segments: np.ndarray, opens: np.ndarray) -> Expected:
-    """Forward-backward over segments (n, SEGMENT) of symbols, -1 after their ends; opens: which begin a text."""
-    n, length = segments.shape
-    k, inside = len(model.start), segments >= 0
-    b = model.emit.astype(np.float32)[np.maximum(segments, 0)]
-    b[~inside] = 1
-    move = model.move.astype(np.float32)
-    alpha, scale = np.empty((n, length, k), np.float32), np.empty((n, length, 1), np.float32)
-    state = np.where(opens[:, None], model.start, model.after).astype(np.float32)
-    for t in range(length):
-        state = (state if t == 0 else state @ move) * b[:, t]
-        scale[:, t] = state.sum(axis=1, keepdims=True)
-        state = alpha[:, t] = state / scale[:, t]
-    beta = np.ones((n, k), np.float32)
-    gamma, moved = alpha, np.zeros((k, k))
-    for t in range(length - 1, 0, -1):
-        back = b[:, t] * beta / scale[:, t]
-        moved += (alpha[:, t - 1] * inside[:, t, None]).T @ back
-        gamma[:, t] *= beta
-        beta = back @ move.T
-    gamma[:, 0] *= beta
-    emit = np.empty((len(model.weight), k))
-    flat, at = gamma[inside], segments[inside]
+    likelihood: float
+
+
+@dataclass
+class Runs:
+    """The runs of some texts, by falling length: their first token and length, the text of each, whether it opens the text, and the run that follows it (-1: none)."""
+
+    symbols: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    text: np.ndarray
+    opens: np.ndarray
+    next: np.ndarray
+
+    @property
+    def longest(self) -> int:
+        return int(self.length.max(initial=0))
+
+    def at(self, t: int) -> np.ndarray:
+        """The symbols at place t of the runs that reach it, which are the first ones."""
+        return self.symbols[self.begin[: int(np.searchsorted(-self.length, -t, side="left"))] + t]
+
+
+def runs_of(symbols: np.ndarray, first: np.ndarray) -> Runs:
+    length = np.diff(first)
+    count = -(-length // RUN)
+    text = np.repeat(np.arange(len(length)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.minimum(RUN, length[text] - RUN * number)
+    order = np.argsort(-size, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    after = np.append(place[1:], -1)[: len(order)]
+    after[number == count[text] - 1] = -1
+    return Runs(symbols, (first[:-1][text] + RUN * number)[order], size[order], text[order], number[order] == 0, after[order])
+
+
+def _entries(model: Model, runs: Runs, backward: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run: the state distribution with which it begins (before its first token), the backward vector at its end, and log10 of the scale that the former lacks.
+
+    Only the runs of texts that have several are multiplied out; they are led along the
+    texts, all texts at once.
+    """
+    n, k = len(runs.length), len(model.start)
+    begin = np.repeat(model.start[None].astype(np.float64), n, axis=0)
+    end = np.ones((n, k))
+    several = np.flatnonzero((runs.next >= 0) | ~runs.opens)
+    if not len(several):
+        return begin, end, several
+    product = np.repeat(np.eye(k)[None], len(several), axis=0)
+    for t in range(runs.longest):
+        now = runs.at(t)
+        active = int(np.searchsorted(several, len(now)))
+        if not active:
+            break
+        step = product[:active] if t == 0 else product[:active] @ model.move
+        step = step * model.emit[now[several[:active]]][:, None]
+        product[:active] = step / step.sum(axis=(1, 2), keepdims=True)
+    place = np.full(n, -1)
+    place[several] = np.arange(len(several))
+    here = several[runs.opens[several]]
+    chain = [here]
+    while len(here):
+        ahead = runs.next[here]
+        here, ahead = here[ahead >= 0], ahead[ahead >= 0]
+        if len(here):
+            state = np.einsum("ni,nij->nj", begin[here], product[place[here]])
+            begin[ahead] = (state / state.sum(axis=1, keepdims=True)) @ model.move
+            chain.append(ahead)
+        here = ahead
+    if backward:
+        for now in reversed(chain[:-1]):
+            now = now[runs.next[now] >= 0]
+            ahead = runs.next[now]
+            back = np.einsum("nij,nj->ni", product[place[ahead]], end[ahead]) @ model.move.T
+            end[now] = back / back.sum(axis=1, keepdims=True)
+    return begin, end, several
+
+
+def expect(model: Model, symbols: np.ndarray, first: np.ndarray) -> Expected:
+    """Forward-backward over whole texts, laid end to end."""
+    runs, k, move = runs_of(symbols, first), len(model.start), model.move
+    emit, moved, likelihood = np.zeros((len(model.weight), k)), np.zeros((k, k)), 0.0
+    if not len(runs.length):
+        return Expected(emit, moved, np.zeros(k), likelihood)
+    begin, end, _ = _entries(model, runs, True)
+    # kept by place: as many rows as there are tokens, whatever the lengths
+    alpha, state = [], begin
+    for t in range(runs.longest):
+        now = runs.at(t)
+        state = (state if t == 0 else state[: len(now)] @ move) * model.emit[now]
+        scale = state.sum(axis=1)
+        likelihood += float(np.log10(scale).sum())
+        state = state / scale[:, None]
+        alpha.append(state.astype(np.float32))
+    # moves between runs that follow each other; only full runs are followed
+    joined = np.flatnonzero(runs.next >= 0)
+    last = alpha[RUN - 1][joined] if len(joined) else None
+    back = end.copy()
+    for t in range(runs.longest - 1, -1, -1):
+        now = runs.at(t)
+        m = len(now)
+        gamma = alpha[t] * back[:m]
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        alpha[t] = gamma.astype(np.float32)
+        if t:
+            ahead = model.emit[now] * back[:m]
+            led = ahead @ move.T
+            before = alpha[t - 1][:m]
+            # the chance of this token with all that follows, given what was before it
+            weight = (before * led).sum(axis=1, keepdims=True)
+            moved += before.T @ (ahead / weight)
+            back[:m] = led / weight
+    if len(joined):
+        ahead = runs.next[joined]
+        moved += last.T @ (alpha[0][ahead] / np.maximum(begin[ahead], 1e-300))
+    at = np.concatenate([runs.at(t) for t in range(runs.longest)])
     for s in range(k):
-        emit[:, s] = np.bincount(at, weights=flat[:, s], minlength=len(emit))
-    return Expected(emit, moved * model.move, gamma[opens, 0].sum(axis=0, dtype=float), flat.sum(axis=0, dtype=float))
+        emit[:, s] = np.bincount(at, weights=np.concatenate([g[:, s] for g in alpha]), minlength=len(emit))
+    return Expected(emit, moved * move, alpha[0][runs.opens].sum(axis=0, dtype=float), likelihood)
 
 
 def improve(model: Model, e: Expected) -> Model:
@@ -196,90 +289,70 @@ def improve(model: Model, e: Expected) -> Model:
 
     emit = share(e.emit, 20.0 * model.weight[:, None])
     move = share(e.move.T, 1.0).T
-    return Model(**{**model.__dict__, "emit": emit, "move": move, "start": share(e.start, 1 / k), "after": share(e.after, 1 / k)})
-
+    return Model(**{**model.__dict__, "emit": emit, "move": move, "start": share(e.start, 1 / k)})
 
-def segments_of(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token sequences cut into segments, padded with -1, and which segments begin a text."""
-    length = first[1:] - first[:-1]
-    count = -(-length // SEGMENT)
-    row = np.repeat(np.arange(len(length)), count)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = (first[:-1][row] + SEGMENT * number)[:, None] + np.arange(SEGMENT)
-    inside = at < first[1:][row][:, None]
-    return np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], -1), number == 0
 
-
-def first_model(model: Model, docs: DataFrame, *, seed: int = 5) -> Model:
-    """Random emissions and sticky states, improved on a bounded sample of segments."""
+def first_model(model: Model, *, seed: int = 5) -> Model:
+    """Random emissions and sticky states."""
     random = np.random.default_rng(seed)
     emit = model.weight[:, None] * random.lognormal(0, 0.7, (len(model.weight), STATES))
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
-    model = Model(**{**model.__dict__, "emit": emit / emit.sum(axis=0), "move": move})
-    chars = F.length("text")
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(chars - 8 * SEGMENT, F.lit(0)) + 1).cast("int") + 1
-    sample = (
-        hashed_sample(docs.where(F.col("text").isNotNull()), "doc_id", START_SEGMENTS, 5)
-        .select("h", F.col("text").substr(begin, F.lit(8 * SEGMENT)).alias("text"))
-        .orderBy("h", "text").limit(START_SEGMENTS).select("text").toPandas()["text"]
-    )
-    parts, opens = [np.zeros((0, SEGMENT), np.int32)], [np.zeros(0, bool)]
-    for _, _, t, first in tokens(pa.array(sample, pa.string())):
-        s, o = segments_of(model.look_up(t)[0], first)
-        parts.append(s)
-        opens.append(o)
-    segments, opens = np.concatenate(parts), np.concatenate(opens)
-    for _ in range(START_ROUNDS if len(segments) else 0):
-        model = improve(model, expect(model, segments, opens))
-    return model
+    return Model(**{**model.__dict__, "emit": emit / emit.sum(axis=0), "move": move})
 
 
-def baum_welch(model: Model, docs: DataFrame, *, rounds: int = ROUNDS) -> Model:
-    """Rounds over all of docs; each task sends one row for a symbol, and Spark adds them up."""
-    spark, k = docs.sparkSession, len(model.start)
+def baum_welch_round(model: Model, docs: DataFrame) -> tuple[Model, float]:
+    """A round over all of docs, and the log10 likelihood before it; each task sends one row for a symbol, and Spark adds them up."""
+    spark, k, size = docs.sparkSession, len(model.start), len(model.weight)
     schema = pa.schema([("symbol", pa.int32()), *((f"s{i}", pa.float64()) for i in range(k))])
-    size = len(model.weight)
+    sent = spark.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = sent.value, np.zeros((size + k + 2, k))
+        for batch in batches:
+            for _, _, keys, endings, first in tokens(batch.column("text")):
+                e = expect(own, own.look_up(keys, endings)[0], first)
+                total[:size] += e.emit
+                total[size : size + k] += e.move
+                total[-2] += e.start
+                total[-1, 0] += e.likelihood
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i]) for i in range(k))], schema=schema)
+
+    names = [f"s{i}" for i in range(k)]
+    added = docs.select("text").transform(map_batches, rows, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    sent.unpersist()
+    total = np.zeros((size + k + 2, k))
+    total[added["symbol"].to_numpy(dtype=int)] = added[names].to_numpy(dtype=float)
+    return improve(model, Expected(total[:size], total[size : size + k], total[-2], total[-1, 0])), float(total[-1, 0])
+
+
+def baum_welch(model: Model, docs: DataFrame, *, rounds: int = ROUNDS) -> Model:
+    """Rounds over a fixed share of docs until the likelihood hardly grows, then over all of docs."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARE)) == 0)
+    before = -np.inf
+    for _ in range(SHARE_ROUNDS):
+        model, likelihood = baum_welch_round(model, some)
+        if likelihood == 0 or likelihood - before < GAIN * abs(likelihood):
+            break
+        before = likelihood
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
-
-        def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, total = sent.value, np.zeros((size + k + 2, k))
-            for batch in batches:
-                for _, _, t, first in tokens(batch.column("text")):
-                    segments, opens = segments_of(own.look_up(t)[0], first)
-                    e = expect(own, segments, opens)
-                    total += np.concatenate([e.emit, e.move, e.start[None], e.after[None]])
-            at = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i]) for i in range(k))], schema=schema)
-
-        names = [f"s{i}" for i in range(k)]
-        added = docs.select("text").transform(map_batches, rows, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-        total = np.zeros((size + k + 2, k))
-        total[added["symbol"].to_numpy(dtype=int)] = added[names].to_numpy(dtype=float)
-        model = improve(model, Expected(total[:size], total[size : size + k], total[-2], total[-1]))
-        sent.unpersist()
+        model, _ = baum_welch_round(model, docs)
     return model
 
 
 def forward(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol sequence: the forward recursion, scaled at every token, over all rows at once."""
-    length = first[1:] - first[:-1]
-    order = np.argsort(-length, kind="stable")
-    begin, left = first[:-1][order], length[order]
-    out = np.zeros(len(length))
-    active = int((left > 0).sum())
-    state = np.repeat(model.start[None], active, axis=0)
-    ended = np.searchsorted(-left, -np.arange(1, int(left.max(initial=0)) + 2), side="right")
-    for t in range(int(left.max(initial=0))):
-        active = int(ended[t])
-        state = state[:active] if t == 0 else state[:active] @ model.move
-        state = state * model.emit[symbols[begin[:active] + t]]
+    """log10 probability of each symbol sequence: the forward recursion, scaled at every token, over all runs at once."""
+    runs = runs_of(symbols, first)
+    begin, _, _ = _entries(model, runs, False)
+    out = np.zeros(len(runs.length))
+    state = begin
+    for t in range(runs.longest):
+        now = runs.at(t)
+        state = (state if t == 0 else state[: len(now)] @ model.move) * model.emit[now]
         scale = state.sum(axis=1)
-        out[:active] += np.log10(scale)
+        out[: len(now)] += np.log10(scale)
         state = state / scale[:, None]
-    back = np.empty(len(length))
-    back[order] = out
-    return back
+    return np.bincount(runs.text, out, minlength=len(first) - 1)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, least: int) -> DataFrame:
@@ -299,13 +372,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, least: int) -> DataF
         own, number = sent.value, TaskContext.get().partitionId() << 40
         shared = np.concatenate([own.ending_log, np.zeros(OWN_SYMBOLS)])
         for batch in batches:
-            parts, firsts, at = [], [np.zeros(1, np.int64)], 0
-            for _, _, t, first in tokens(batch.column("text")):
-                parts.append(t)
+            parts, ends, firsts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+            for _, _, k, e, first in tokens(batch.column("text")):
+                parts.append(k)
+                ends.append(e)
                 firsts.append(first[1:] + at)
-                at += len(t)
-            keys, first = np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate(firsts)
-            symbols, logs, known = own.look_up(keys)
+                at += len(k)
+            keys, first = np.concatenate(parts), np.concatenate(firsts)
+            symbols, logs, known = own.look_up(keys, np.concatenate(ends))
             n = len(first) - 1
 
             def total(x: np.ndarray, first=first) -> np.ndarray:
@@ -322,7 +396,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, least: int) -> DataF
 
     ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_sent long, base double, model double, others array<long>"
     local = staged(docs.select("doc_id", "text", "held_out").transform(map_batches, rows, ddl), "hmm-scores")
-    rest = counts.where(F.col("c") < least)
+    rest = counts.where(F.col("c") < least).drop("g")
     found = local.select("row", F.explode("others").alias("k")).join(rest, "k").groupBy("row").agg(F.count(F.lit(1)).alias("n_other"), F.sum(F.log10(F.col("c") + 1)).alias("other"))
     other = F.coalesce("other", F.lit(0.0))
     return local.drop("others").join(found, "row", "left").select(
@@ -347,5 +421,5 @@ def score_documents(docs: DataFrame, held_out: Column, *, rounds: int = ROUNDS)
     learnt = marked.where(~F.col("held_out"))
     counts = staged(word_counts(learnt), "hmm-counts")
     model, least = vocabulary(counts)
-    model = baum_welch(first_model(model, learnt), learnt, rounds=rounds)
+    model = baum_welch(first_model(model), learnt, rounds=rounds)
     return score(marked, model, counts, least)
