@@ -38,7 +38,9 @@ OWN_SYMBOLS = 8_192
 #: Words whose counts are sent to tasks at most (16 bytes each).
 SENT_WORDS = 1 << 19
 #: Tokens of a long text that are worked on in a row; bytes of text that are worked on side by side.
-RUN, SIDE_BY_SIDE = 512, 4 << 20
+RUN, SIDE_BY_SIDE = 1024, 4 << 20
+#: Tokens whose forward-backward is worked on side by side, and steps after which products are scaled.
+TOKENS, SCALED = 600_000, 16
 #: The share of training documents that the first rounds read, their number at most, and rounds over all documents.
 SHARE, SHARE_ROUNDS, ROUNDS = 16, 12, 3
 #: The first rounds end when the log likelihood gains less than this part of itself.
@@ -203,7 +205,8 @@ def _entries(model: Model, runs: Runs, backward: bool) -> tuple[np.ndarray, np.n
     n, k = len(runs.length), len(model.start)
     begin = np.repeat(model.start[None].astype(np.float64), n, axis=0)
     end = np.ones((n, k))
-    several = np.flatnonzero((runs.next >= 0) | ~runs.opens)
+    # the forward way leads through all runs but a text's last, the backward way through all but its first
+    several = np.flatnonzero((runs.next >= 0) | (~runs.opens & backward))
     if not len(several):
         return begin, end, several
     product = np.repeat(np.eye(k)[None], len(several), axis=0)
@@ -212,9 +215,12 @@ def _entries(model: Model, runs: Runs, backward: bool) -> tuple[np.ndarray, np.n
         active = int(np.searchsorted(several, len(now)))
         if not active:
             break
-        step = product[:active] if t == 0 else product[:active] @ model.move
-        step = step * model.emit[now[several[:active]]][:, None]
-        product[:active] = step / step.sum(axis=(1, 2), keepdims=True)
+        if t:
+            product[:active] = (product[:active].reshape(-1, k) @ model.move).reshape(-1, k, k)
+        product[:active] *= model.emit[now[several[:active]]][:, None]
+        if t % SCALED == SCALED - 1:
+            product[:active] /= product[:active].sum(axis=(1, 2), keepdims=True)
+    product /= product.sum(axis=(1, 2), keepdims=True)
     place = np.full(n, -1)
     place[several] = np.arange(len(several))
     here = several[runs.opens[several]]
@@ -300,17 +306,43 @@ def first_model(model: Model, *, seed: int = 5) -> Model:
     return Model(**{**model.__dict__, "emit": emit / emit.sum(axis=0), "move": move})
 
 
-def baum_welch_round(model: Model, docs: DataFrame) -> tuple[Model, float]:
-    """A round over all of docs, and the log10 likelihood before it; each task sends one row for a symbol, and Spark adds them up."""
-    spark, k, size = docs.sparkSession, len(model.start), len(model.weight)
+def symbols_of(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and the symbols of every row of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), ("symbols", pa.list_(pa.int16()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, keys, endings, first in tokens(batch.column("text")):
+                found = sent.value.look_up(keys, endings)[0].astype(np.int16)
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), lists], schema=schema)
+
+    return docs.select("doc_id", "text").transform(map_batches, rows, "doc_id long, symbols array<short>")
+
+
+def _blocks(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and first tokens of runs of rows of about TOKENS tokens; a longer row is one of its own."""
+    ends = np.asarray(lists.offsets)
+    flat = np.asarray(lists.values)
+    a = 0
+    while a < len(lists):
+        b = min(len(lists), max(a + 1, int(np.searchsorted(ends, ends[a] + TOKENS, side="right")) - 1))
+        yield flat[ends[a] : ends[b]], ends[a : b + 1].astype(np.int64) - ends[a]
+        a = b
+
+
+def baum_welch_round(model: Model, texts: DataFrame) -> tuple[Model, float]:
+    """A round over all texts (symbols), and the log10 likelihood before it; each task sends one row for a symbol, and Spark adds them up."""
+    spark, k, size = texts.sparkSession, len(model.start), len(model.weight)
     schema = pa.schema([("symbol", pa.int32()), *((f"s{i}", pa.float64()) for i in range(k))])
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(Model(0, 0, *[np.zeros(0)] * 4, model.weight, model.start, model.move, model.emit))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = sent.value, np.zeros((size + k + 2, k))
         for batch in batches:
-            for _, _, keys, endings, first in tokens(batch.column("text")):
-                e = expect(own, own.look_up(keys, endings)[0], first)
+            for symbols, first in _blocks(batch.column("symbols")):
+                e = expect(own, symbols, first)
                 total[:size] += e.emit
                 total[size : size + k] += e.move
                 total[-2] += e.start
@@ -319,7 +351,7 @@ def baum_welch_round(model: Model, docs: DataFrame) -> tuple[Model, float]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i]) for i in range(k))], schema=schema)
 
     names = [f"s{i}" for i in range(k)]
-    added = docs.select("text").transform(map_batches, rows, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    added = texts.select("symbols").transform(map_batches, rows, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     sent.unpersist()
     total = np.zeros((size + k + 2, k))
     total[added["symbol"].to_numpy(dtype=int)] = added[names].to_numpy(dtype=float)
@@ -327,8 +359,12 @@ def baum_welch_round(model: Model, docs: DataFrame) -> tuple[Model, float]:
 
 
 def baum_welch(model: Model, docs: DataFrame, *, rounds: int = ROUNDS) -> Model:
-    """Rounds over a fixed share of docs until the likelihood hardly grows, then over all of docs."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARE)) == 0)
+    """Rounds over a fixed share of docs until the likelihood hardly grows, then over all of docs.
+
+    Texts are turned into symbols once, and these are written.
+    """
+    texts = staged(symbols_of(docs, model), "hmm-symbols")
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARE)) == 0)
     before = -np.inf
     for _ in range(SHARE_ROUNDS):
         model, likelihood = baum_welch_round(model, some)
@@ -336,7 +372,7 @@ def baum_welch(model: Model, docs: DataFrame, *, rounds: int = ROUNDS) -> Model:
             break
         before = likelihood
     for _ in range(rounds):
-        model, _ = baum_welch_round(model, docs)
+        model, _ = baum_welch_round(model, texts)
     return model
 
 
