@@ -17,9 +17,14 @@ WINDOW, STRIDE = 512, 384
 
 def windows(n_tokens: Column, size: int = WINDOW, stride: int = STRIDE) -> Column:
     """array of struct(start, end): strided windows up to the one that reaches the end; none for no tokens."""
-    last = F.greatest(F.lit(0), F.ceil((n_tokens - size) / stride)).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * stride).cast("long").alias("start"), F.least((i * stride + size).cast("long"), n_tokens.cast("long")).alias("end")))
-    return F.when(n_tokens > 0, made).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+    def made(n: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((n - size) / stride)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * stride).cast("long").alias("start"), F.least((i * stride + size).cast("long"), n).alias("end")))
+
+    # bound to a variable, so that tokens are counted once
+    counts = F.filter(F.array(n_tokens.cast("long")), lambda n: n > 0)
+    return F.flatten(F.transform(counts, made))
 
 
 def window_mean(scored: DataFrame, keys: tuple[str, ...] = ("doc_id",), weight: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ null, except in ratios, which have a defined value for empty texts.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -70,6 +71,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_count(text: Column | str) -> Column:
     """Number of tokens between white space."""
     return F.regexp_count(_col(text), F.lit(TOKEN)).cast("long")
@@ -96,8 +102,7 @@ def _lines(text: Column) -> Column:
 
 def repeated_line_ratio(text: Column | str) -> Column:
     """Share of non-blank lines beyond the first of their kind; fewer than two lines have 0."""
-    lines = _lines(_col(text))
-    return F.when(F.size(lines) < 2, 0.0).otherwise(1 - F.size(F.array_distinct(lines)) / F.size(lines))
+    return bound(_lines(_col(text)), lambda lines: F.when(F.size(lines) < 2, 0.0).otherwise(1 - F.size(F.array_distinct(lines)) / F.size(lines)))
 
 
 def mean_word_length(text: Column | str) -> Column:
@@ -107,8 +112,7 @@ def mean_word_length(text: Column | str) -> Column:
 
 
 def unique_word_ratio(text: Column | str) -> Column:
-    found = words(F.lower(_col(text)))
-    return F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.array_distinct(found)) / F.size(found))
+    return bound(words(F.lower(_col(text))), lambda found: F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.array_distinct(found)) / F.size(found)))
 
 
 def first_reason(reasons: list[tuple[Column, str]]) -> Column:
@@ -144,24 +148,31 @@ def quality_reasons(text: Column | str, policy: QualityPolicy = QualityPolicy())
 
 def language(text: Column | str, upstream: Column | None = None) -> Column:
     """struct(language, score, detector): the upstream (language, score) where there is one, else the share of English function words."""
+
+    def judged(counts: Column) -> Column:
+        raw = F.least(counts["hits"] / counts["n"] / FULL_SHARE, F.lit(1.0))
+        score = F.when(counts["n"] == 0, 0.0).otherwise(F.bround(raw, 4))
+        name = F.when((counts["n"] > 0) & (raw >= 0.5), "en").otherwise("unknown")
+        return F.struct(name.alias("language"), score.alias("score"), F.lit("heuristic").alias("detector"))
+
     found = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"(?U)\b[a-z']+\b"), F.lit(0))
-    hits = F.size(F.filter(found, lambda w: w.isin(*ENGLISH)))
-    raw = F.least(hits / F.size(found) / FULL_SHARE, F.lit(1.0))
-    score = F.when(F.size(found) == 0, 0.0).otherwise(F.bround(raw, 4))
-    name = F.when((F.size(found) > 0) & (raw >= 0.5), "en").otherwise("unknown")
-    own = F.struct(name.alias("language"), score.alias("score"), F.lit("heuristic").alias("detector"))
+    own = bound(bound(found, lambda w: F.struct(F.size(w).alias("n"), F.size(F.filter(w, lambda x: x.isin(*ENGLISH))).alias("hits"))), judged)
     if upstream is None:
         return own
     given = F.struct(upstream["language"].alias("language"), upstream["score"].cast("double").alias("score"), F.lit("upstream").alias("detector"))
     return F.when(upstream.isNotNull(), given).otherwise(own)
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+def _nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation, which Spark has no function for."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+nfkc = F.pandas_udf(_nfkc, StringType())
+#: The same, marked so that the optimiser neither repeats it in the columns that read its result nor moves filters below it.
+nfkc_once = F.pandas_udf(_nfkc, StringType()).asNondeterministic()
+
+
 def strip_markup(text: Column | str) -> Column:
     """Scripts and styles, Markdown links, tags and entities, in this order and once."""
     t = F.regexp_replace(_col(text), SCRIPT_OR_STYLE, " ")
@@ -188,8 +199,9 @@ def collapse_whitespace(text: Column | str) -> Column:
     return strip(F.regexp_replace(t, rf"[{edge}]*\n[{edge}]*", "\n"))
 
 
-def normalize(text: Column | str, *, fold_confusables: bool = False) -> Column:
-    t = nfkc(_col(text))
+def normalize(text: Column | str, *, fold_confusables: bool = False, once: bool = False) -> Column:
+    """The normalised text; once: a column of this is worked out once a row, however many others read it."""
+    t = (nfkc_once if once else nfkc)(_col(text))
     if fold_confusables:
         t = fold_confusable_letters(t)
     return collapse_whitespace(strip_markup(strip_invisible(t)))

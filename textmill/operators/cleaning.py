@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import dedup
+from textmill.operators.tables import checkpointed
 
 PROCESSING_VERSION = "clean_v1"
 
@@ -54,7 +55,7 @@ def judge(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), *, norm
     records = with_optional(records)
     missing = F.col("text").isNull() | (F.col("text") == "") | F.col("source_record_id").isNull() | (F.col("source_record_id").cast("string") == "")
     text = F.coalesce(F.col("text"), F.lit(""))
-    first = records.withColumn("__missing", missing).withColumn("text", T.normalize(text) if normalise else text)
+    first = records.withColumn("__missing", missing).withColumn("text", T.normalize(text, once=True) if normalise else text)
     # each stage is a projection of its own, so that what several stages read is computed once
     lang = T.language("text", F.col("upstream"))
     first = first.withColumn("__lang", lang)
@@ -117,7 +118,8 @@ def clean(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), *, near
 
     near adds the greedy near-duplicate pass (see dedup.near_duplicates).
     """
-    docs = documents_of(judge(records, policy), policy)
+    # written, so that filters below do not judge (and normalise) every record again
+    docs = documents_of(checkpointed(judge(records, policy), "clean-judged"), policy)
     docs = dedup.first_of_content(docs, order=order)
     return dedup.without_near_duplicates(docs, order=order) if near else docs
 

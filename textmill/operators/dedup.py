@@ -51,8 +51,9 @@ def first_of_content(docs: DataFrame, order: str = "doc_id", content: str = "con
     """
     first = docs.where(F.col(content).isNotNull()).groupBy(F.col(content).alias("__content")).agg(F.min(order).alias("__first"))
     same = (F.col(content) == F.col("__content")) & F.col(order).eqNullSafe(F.col("__first"))
-    kept = docs.join(first, same, "left_semi")
-    return kept.unionByName(docs.where(F.col(content).isNull())).dropDuplicates([order, content])
+    # both steps have the same keys, so rows move once
+    kept = docs.join(first, same, "left_semi").dropDuplicates([content, order])
+    return kept.unionByName(docs.where(F.col(content).isNull()))
 
 
 def resolve(docs: DataFrame, training: DataFrame, content: str = "content_sha256") -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,12 @@ def checkpointed(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores if it has fewer files than these: such a table may be one row group, which a single task would read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def require_empty(rows: DataFrame, message: str) -> None:
     """Raise ValueError with a few of the rows, if there are any."""
     found = rows.limit(5).collect()

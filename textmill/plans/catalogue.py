@@ -9,7 +9,7 @@ from textmill.functions import attacks, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import audits, cleaning, dedup, lake, metrics, mining, sampling
-from textmill.operators.tables import checkpointed
+from textmill.operators.tables import checkpointed, spread
 from textmill.sources import readers
 
 FLAGSHIP = "whole_cleaning_funnel"
@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select(F.col("source").alias("source_id"), F.col("doc_id").alias("source_record_id"), "text")
+    return spread(_docs(spark, sf)).select(F.col("source").alias("source_id"), F.col("doc_id").alias("source_record_id"), "text")
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def language_scores(spark, sf):
 
 
 def personal_data(spark, sf):
-    return T.with_redacted(_docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "r").select("doc_id", F.array_join("r.flags", ",").alias("flags"), H.sha256("r.text").alias("redacted_sha256"))
+    return T.with_redacted(spread(_docs(spark, sf)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "r").select("doc_id", F.array_join("r.flags", ",").alias("flags"), H.sha256("r.text").alias("redacted_sha256"))
 
 
 def exact_dedup(spark, sf):
@@ -75,7 +75,7 @@ def exact_dedup(spark, sf):
 
 
 def near_duplicates(spark, sf):
-    return dedup.near_duplicates(_docs(spark, sf))
+    return dedup.near_duplicates(spread(_docs(spark, sf)))
 
 
 def split_assignment(spark, sf):
@@ -161,7 +161,7 @@ def whole_exact_contamination(spark, sf):
 
 
 def contamination(spark, sf):
-    docs, items = _docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs, items = spread(_docs(spark, sf)), spark.read.parquet(f"{sf}/benchmark.parquet")
     return audits.contamination(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("doc_id"), "text"))
 
 
@@ -197,7 +197,7 @@ def quotes(spark, sf):
 
 
 def attack_report(spark, sf):
-    made = attacks.attack_matrix(_docs(spark, sf).select("doc_id", "text")).withColumns({"s": F.length("attacked") % 101 / 101.0, "valid": attacks.preserves_meaning("text", "attacked")})
+    made = attacks.attack_matrix(spread(_docs(spark, sf)).select("doc_id", "text")).withColumns({"s": F.length("attacked") % 101 / 101.0, "valid": attacks.preserves_meaning("text", "attacked")})
     return attacks.attack_report(made, 0.5)
 
 

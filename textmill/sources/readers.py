@@ -8,6 +8,7 @@ from __future__ import annotations
 import gzip
 import html.parser
 import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -110,7 +111,7 @@ def wet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                         text = body.decode("utf-8", "replace")
                         if h.get("warc-type") == "conversion" and text.strip():
                             out.append((path, h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-identified-content-language"), text, None))
-                except (EOFError, OSError, ValueError) as e:
+                except (EOFError, OSError, ValueError, zlib.error) as e:
                     out = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(out, columns=names)
 
