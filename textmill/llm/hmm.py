@@ -131,12 +131,13 @@ def vocabulary(counts: DataFrame) -> tuple[Model, int]:
         if room < 0:
             break
         least = int(np.ceil(2 ** (r["level"] / 8) - 1e-9))
-    frequent = counts.where(F.col("c") >= least).toPandas()
-    key, c = frequent["k"].to_numpy(dtype=np.int64).view(np.uint64), frequent["c"].to_numpy(dtype=np.int64)
+    # as Arrow columns: rows of Python objects would be many times as large
+    frequent = counts.where(F.col("c") >= least).toArrow()
+    key, c = frequent["k"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
     order = np.argsort(key)
     key, c = key[order], c[order]
     own = np.lexsort((key, -c))[:OWN_SYMBOLS]
-    ending = frequent["g"].to_numpy(dtype=np.int32)[order]
+    ending = frequent["g"].to_numpy()[order]
     symbol = ending.copy()
     symbol[own] = ENDINGS + np.arange(len(own), dtype=np.int32)
     by_ending = np.zeros(ENDINGS)
@@ -351,10 +352,10 @@ def baum_welch_round(model: Model, texts: DataFrame) -> tuple[Model, float]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, i]) for i in range(k))], schema=schema)
 
     names = [f"s{i}" for i in range(k)]
-    added = texts.select("symbols").transform(map_batches, rows, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    added = texts.select("symbols").transform(map_batches, rows, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     sent.unpersist()
     total = np.zeros((size + k + 2, k))
-    total[added["symbol"].to_numpy(dtype=int)] = added[names].to_numpy(dtype=float)
+    total[added["symbol"].to_numpy()] = np.stack([added[n].to_numpy() for n in names], axis=1)
     return improve(model, Expected(total[:size], total[size : size + k], total[-2], total[-1, 0])), float(total[-1, 0])
 
 
