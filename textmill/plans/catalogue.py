@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.functions import attacks, spans
+from textmill.functions import attacks, attributes, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
-from textmill.operators import audits, cleaning, dedup, lake, metrics, mining, sampling
+from textmill.operators import audits, cleaning, decisions, dedup, lake, metrics, mining, mixtures, sampling
 from textmill.operators.tables import checkpointed, spread
-from textmill.sources import readers
+from textmill.sources import pools, readers
 
 FLAGSHIP = "whole_cleaning_funnel"
 
@@ -210,11 +210,39 @@ def cluster_atlas(spark, sf):
     return mining.cluster_summary(rows).select("cluster", "size", F.round("share", 9).alias("share"), F.round("mean_confidence", 9).alias("mean_confidence"))
 
 
+def decided(spark, sf):
+    """Verdicts of all documents under a threshold and a band that come from their own scores."""
+    scores = _scores(spark, sf).select("doc_id", "y", "s")
+    policy = decisions.Policy(*decisions.band(scores, 0.05, 0.1))
+    return scores.select("doc_id", decisions.decide("s", policy).alias("d")).select("doc_id", "d.verdict", F.round("d.confidence", 9).alias("confidence"), "d.abstained")
+
+
+def training_rows(spark, sf):
+    """English documents stand for the human side, all others for the generated one."""
+    docs = _split(_docs(spark, sf)).withColumn("domain", F.col("source"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    ai = docs.where(~english).withColumns({"sample_id": F.col("doc_id"), "generator_family": F.col("lang"), "generator_released": F.lit(None), "prompt_version": F.lit("mirror_v2")})
+    made = pools.training_rows(docs.where(english), ai, splits=("train", "val"), arm="mirror")
+    return made.select("doc_id", "source_group_id", "split", "label", "domain", "generator_family", F.size("spans").alias("n_spans"), F.col("spans")[0]["end_char"].alias("end_char"))
+
+
+def document_attributes(spark, sf):
+    return attributes.attributes(spread(_docs(spark, sf))).withColumn("key_anchors", F.array_join("key_anchors", ","))
+
+
+def splice_controls(spark, sf):
+    """Pairs of documents of a split, spliced line by line: the test texts have no blank lines."""
+    docs = _split(_docs(spark, sf)).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    made = mixtures.splice(mixtures.neighbours(docs.select("doc_id", "source_group_id", "split", "text")))
+    return made.select("doc_id", "human_source_id", "ai_source_id", "split", H.sha256("text").alias("text_sha256"), F.size("spans").alias("n_spans"), F.round(spans.ai_char_fraction(F.col("text"), F.col("spans")), 9).alias("ai_share"))
+
+
 QUERIES = {f.__name__: f for f in (
     cleaning_funnel, cleaned_documents, text_statistics, language_scores, personal_data, exact_dedup, near_duplicates, split_assignment, shard_sizes,
     regime_rates, fpr_threshold, condition_cost, discordant_pairs, value_drift, group_scores, hash_subsample, labelled_subsample, capped_documents,
     matched_cap, length_bins, interleaved, cluster_selection, exact_contamination, contamination, leaking_groups, unseen_domain, token_windows,
     role_segments, page_text, quotes, attack_report, source_manifest, cluster_atlas, whole_cleaning_funnel, whole_exact_contamination,
+    decided, training_rows, document_attributes, splice_controls,
 )}
 
 _TEXT = "coalesce(text, '')"
@@ -300,4 +328,15 @@ q AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(pos) OVER w = pos -
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM q)
 SELECT doc_id, label, min(pos) AS start, max(pos) + 1 AS "end" FROM r GROUP BY doc_id, run, label""",
     "cluster_atlas": "WITH e AS (SELECT label AS cluster, (vec_id * 37 % 1009) / 1009.0 AS c FROM embeddings WHERE label <> -1) SELECT cluster, count(*) AS size, round(count(*) / (SELECT count(*) FROM e), 9) AS share, round(avg(c), 9) AS mean_confidence FROM e GROUP BY cluster",
+    "decided": f"""
+WITH {_SCORES}, human AS (SELECT s, row_number() OVER (ORDER BY s) AS r, count(*) OVER () AS n FROM scores WHERE y = 0),
+c AS (SELECT s AS cut FROM human WHERE r = least(greatest(ceil((1.0::DOUBLE - 0.05::DOUBLE) * n), 1), n)),
+k AS (SELECT count(*) AS n, count(*) FILTER (s <= cut) AS under, greatest(CAST(floor(count(*) * 0.1::DOUBLE / 2) AS BIGINT), 1) AS half FROM scores, c),
+o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS place FROM scores),
+b AS (SELECT cut, (SELECT s FROM o WHERE place = greatest(under - half, 0)) AS low, (SELECT s FROM o WHERE place = least(under + half, n - 1)) AS high FROM c, k),
+j AS (SELECT doc_id, s, cut, s >= low AND CASE WHEN high > cut THEN s < high ELSE s <= cut END AS abstained FROM scores, b)
+SELECT doc_id, CASE WHEN abstained THEN 'uncertain' WHEN s > cut THEN 'ai' ELSE 'human' END AS verdict, round(abs(s - cut) / greatest(cut, 1 - cut), 9) AS confidence, abstained FROM j""",
+    "training_rows": f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'grp_' || CAST(doc_id AS VARCHAR) AS source_group_id, {_DOC_SPLIT} AS split, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS label, coalesce(source, 'unknown') AS domain,
+  CASE WHEN lang = 'en' THEN NULL ELSE coalesce(lang, 'unknown') END AS generator_family, 1 AS n_spans, length(text) AS end_char FROM documents WHERE {_DOC_SPLIT} IN ('train', 'val')""",
 }
