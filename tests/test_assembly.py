@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,21 @@ def test_attributes(spark):
         attributes.prompts(made, "{nothing}")
 
 
+def test_topics_of_documents(spark, tiny):
+    """Topics, lengths and difficulty of all test documents against plain Python."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in attributes.attributes(docs).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        words = re.findall(r"\b[a-zA-Z][a-zA-Z'-]+\b", text.lower())
+        top = [w for w, _ in Counter(w for w in words if w not in attributes.NO_TOPICS and len(w) > 3).most_common(6)]
+        assert got[r["doc_id"]]["key_anchors"] == (top or ["the subject of the document"])
+        assert got[r["doc_id"]]["target_tokens"] == len(text.split())
+        if words:
+            score = len(words) / max(len(re.findall(r"[.!?]+(?:\s|$)", text)), 1) / 20 + sum(len(w) >= 8 for w in words) / len(words) / 0.15
+            assert got[r["doc_id"]]["difficulty"] == ("plain" if score < 1 else "moderate" if score < 1.8 else "demanding")
+
+
 def test_mirrors(spark):
     source = " ".join(f"word{k}" for k in range(30))
     other = " ".join(f"term{k}" for k in range(30))
