@@ -130,6 +130,21 @@ def test_topics_of_documents(spark, tiny):
             assert got[r["doc_id"]]["difficulty"] == ("plain" if score < 1 else "moderate" if score < 1.8 else "demanding")
 
 
+def test_decoding(spark):
+    df = spark.createDataFrame([("a", 10), ("b", 200), (None, 5000), ("d", None)], "doc_id string, n int")
+    got = df.select("doc_id", attributes.decoding("doc_id", [0.7, 0.9], [0.9], 640, "n", greedy=True).alias("d")).select("doc_id", "d.*").collect()
+    assert [r["max_new_tokens"] for r in got] == [96, 351, 640, None]
+    number = lambda s: int(hashlib.sha256(s.encode()).hexdigest()[:12], 16)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["temperature"] is None and r["seed"] is None
+        else:
+            assert (r["temperature"], r["top_p"]) == [(0.7, 0.9), (0.9, 0.9), (0.0, 1.0)][number(f"{r['doc_id']}|decoding") % 3]
+            assert r["seed"] == number(f"{r['doc_id']}|seed") % 2**31
+    with pytest.raises(Exception, match="no target of words"):
+        spark.createDataFrame([(0,)], "n int").select(attributes.token_budget("n", 640).alias("b")).collect()
+
+
 def test_mirrors(spark):
     source = " ".join(f"word{k}" for k in range(30))
     other = " ".join(f"term{k}" for k in range(30))

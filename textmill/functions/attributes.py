@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import dedup
 
@@ -38,6 +39,8 @@ NARRATIVE = ("i remember", "my father", "she said", "he said")
 FORMAL = ("shall", "pursuant", "hereby", "the committee", "section")
 CHATTY = ("you'll", "let's", "we've", "i think", "you can")
 ANCHORS, TOPICS = 6, 3
+# Tokens to a word, headroom over the length aimed at, least budget.
+TOKENS_TO_A_WORD, HEADROOM, LEAST_BUDGET = 1.35, 1.3, 96
 
 
 @dataclass(frozen=True)
@@ -135,6 +138,27 @@ def prompts(attributes: DataFrame, template: str, key: str = "doc_id") -> DataFr
     return attributes.select(key, F.concat(*filled).alias("prompt"))
 
 
+def token_budget(target_words: Column | str, most: int) -> Column:
+    """How many tokens a text of so many words may take, between 96 and most; null stays null, a target under 1 fails the job."""
+    n = T._col(target_words)
+    sound = F.when(n.isNull() | (n > 0), n).otherwise(F.raise_error(F.concat(F.lit("no target of words: "), n.cast("string"))))
+    wanted = F.floor(sound.cast("double") * TOKENS_TO_A_WORD * HEADROOM)
+    return F.when(n.isNotNull(), F.greatest(F.lit(LEAST_BUDGET), F.least(wanted, F.lit(most))).cast("int"))
+
+
+def decoding(key: Column | str, temperatures: list[float], top_ps: list[float], most: int, target_words: Column | str | None = None, *, greedy: bool = False) -> Column:
+    """struct(temperature, top_p, max_new_tokens, seed) by hashes of the key alone: one pair of the grid, or greedy decoding as one more choice.
+
+    With target_words the token budget follows the length aimed at; it does not change the
+    pair or the seed.  A null key gives nulls in all that is chosen by it.
+    """
+    grid = [(t, p) for t in temperatures for p in top_ps] + [(0.0, 1.0)] * greedy
+    which = H.digest(key, "decoding")
+    budget = F.lit(most) if target_words is None else token_budget(target_words, most)
+    chosen = [H.pick([float(g[k]) for g in grid], which).alias(name) for k, name in enumerate(("temperature", "top_p"))]
+    return F.struct(*chosen, budget.alias("max_new_tokens"), (H.digest(key, "seed") % 2**31).alias("seed"))
+
+
 def strip_wrapper(text: Column | str) -> Column:
     """The text without a closing offer of help and without a heading in its first line."""
     return T.strip(F.regexp_replace(T.strip(F.regexp_replace(T._col(text), TRAILER, "")), HEADING, ""))

@@ -54,8 +54,8 @@ def digest(value: Column | str, salt: str) -> Column:
 
 
 def pick(options: list, number: Column) -> Column:
-    """The option at number modulo the number of options."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (number % len(options) + 1).cast("int"))
+    """The option at number modulo the number of options; null for a null number, for which element_at gives 0 or an empty text."""
+    return F.get(F.array(*[F.lit(o) for o in options]), (number % len(options)).cast("int"))
 
 
 def bucket(value: Column, salt: str) -> Column:

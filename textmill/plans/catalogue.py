@@ -230,6 +230,12 @@ def document_attributes(spark, sf):
     return attributes.attributes(spread(_docs(spark, sf))).withColumn("key_anchors", F.array_join("key_anchors", ","))
 
 
+def decodings(spark, sf):
+    """Decoding settings of all documents with words."""
+    docs = _docs(spark, sf).select("doc_id", T.token_count(F.coalesce("text", F.lit(""))).alias("n")).where("n > 0")
+    return docs.select("doc_id", attributes.decoding("doc_id", [0.6, 0.8, 1.0], [0.9, 0.95], 1024, "n", greedy=True).alias("d")).select("doc_id", "d.*")
+
+
 def splice_controls(spark, sf):
     """Pairs of documents of a split, spliced line by line: the test texts have no blank lines."""
     docs = _split(_docs(spark, sf)).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
@@ -242,7 +248,7 @@ QUERIES = {f.__name__: f for f in (
     regime_rates, fpr_threshold, condition_cost, discordant_pairs, value_drift, group_scores, hash_subsample, labelled_subsample, capped_documents,
     matched_cap, length_bins, interleaved, cluster_selection, exact_contamination, contamination, leaking_groups, unseen_domain, token_windows,
     role_segments, page_text, quotes, attack_report, source_manifest, cluster_atlas, whole_cleaning_funnel, whole_exact_contamination,
-    decided, training_rows, document_attributes, splice_controls,
+    decided, training_rows, document_attributes, decodings, splice_controls,
 )}
 
 _TEXT = "coalesce(text, '')"
@@ -339,4 +345,8 @@ SELECT doc_id, CASE WHEN abstained THEN 'uncertain' WHEN s > cut THEN 'ai' ELSE
     "training_rows": f"""
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'grp_' || CAST(doc_id AS VARCHAR) AS source_group_id, {_DOC_SPLIT} AS split, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS label, coalesce(source, 'unknown') AS domain,
   CASE WHEN lang = 'en' THEN NULL ELSE coalesce(lang, 'unknown') END AS generator_family, 1 AS n_spans, length(text) AS end_char FROM documents WHERE {_DOC_SPLIT} IN ('train', 'val')""",
+    "decodings": f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS n, {_number("CAST(doc_id AS VARCHAR) || '|decoding'", 12)} % 7 AS k, {_number("CAST(doc_id AS VARCHAR) || '|seed'", 12)} % 2147483648 AS seed FROM documents)
+SELECT doc_id, CAST(CASE WHEN k = 6 THEN 0.0 ELSE [0.6, 0.8, 1.0][k // 2 + 1] END AS DOUBLE) AS temperature, CAST(CASE WHEN k = 6 THEN 1.0 ELSE [0.9, 0.95][k % 2 + 1] END AS DOUBLE) AS top_p,
+  CAST(greatest(96, least(floor(CAST(n AS DOUBLE) * 1.35::DOUBLE * 1.3::DOUBLE), 1024)) AS INTEGER) AS max_new_tokens, seed FROM d WHERE n > 0""",
 }
