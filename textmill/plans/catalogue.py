@@ -62,7 +62,7 @@ def text_statistics(spark, sf):
 
 def language_scores(spark, sf):
     lang = T.language(F.coalesce("text", F.lit("")))
-    return _docs(spark, sf).select("doc_id", lang.alias("l")).select("doc_id", "l.language", F.round("l.score", 3).alias("score"))
+    return _docs(spark, sf).select("doc_id", lang.alias("l")).select("doc_id", "l.language", F.round("l.score", 4).alias("score"))
 
 
 def personal_data(spark, sf):
@@ -206,8 +206,11 @@ def source_manifest(spark, sf):
 
 
 def cluster_atlas(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("cluster"), (F.col("vec_id") * 37 % 1009 / 1009.0).alias("confidence"), *[F.lit(x).alias(c) for c, x in (("domain", "web"), ("source", "a"), ("register", "r"))])
-    return mining.cluster_summary(rows).select("cluster", "size", F.round("share", 9).alias("share"), F.round("mean_confidence", 9).alias("mean_confidence"))
+    """Clusters with their commonest values, exemplars and labels; domains, sources and registers are functions of the vector's id."""
+    named = [F.concat(F.lit(c), (F.col("vec_id") % n).cast("string")).alias(c) for c, n in (("domain", 7), ("source", 5), ("register", 3))]
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("cluster"), (F.col("vec_id") * 37 % 1009 / 1009.0).alias("confidence"), *named)
+    joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("domains", "sources", "registers", "exemplars")]
+    return mining.cluster_summary(rows).select("cluster", "size", F.round("share", 9).alias("share"), F.round("mean_confidence", 9).alias("mean_confidence"), "label", *joined)
 
 
 def decided(spark, sf):
@@ -275,6 +278,12 @@ def _split_sql(group: str) -> str:
     return f"CASE WHEN {at} < 8000 THEN 'train' WHEN {at} < 9000 THEN 'val' ELSE 'test' END"
 
 
+def _top_sql(column: str) -> str:
+    """CTE t<column>: the three commonest values of each cluster of e, smaller values first among equals."""
+    counts = f"(SELECT cluster, {column} AS v, count(*) AS n FROM e GROUP BY ALL)"
+    return f"t{column} AS (SELECT cluster, list(v ORDER BY n DESC, v)[1:3] AS {column}s FROM {counts} GROUP BY cluster)"
+
+
 _DOC_SPLIT = _split_sql("'grp_' || CAST(doc_id AS VARCHAR)")
 _SCORES = "scores AS (SELECT doc_id, source AS regime, toxic AS y, ((n_chars * 7 + doc_id) % 97) / 97.0 AS s FROM documents JOIN labels USING (doc_id))"
 
@@ -290,7 +299,7 @@ kept AS (SELECT min(source || '_' || CAST(doc_id AS VARCHAR)) AS id FROM judged
 SELECT 'kept' AS reason, {_split_sql("'grp_' || id")} AS split, count(*) AS n FROM kept GROUP BY ALL
 UNION ALL SELECT reason, NULL, count(*) FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
     "text_statistics": f"SELECT doc_id, {_TOKENS} AS tokens, round({_SYMBOLS}, 9) AS symbols, round({_REPEATED}, 9) AS repeated, round({_WORD_LENGTH}, 9) AS word_length, round({_DISTINCT}, 9) AS distinct_words FROM documents",
-    "language_scores": f"SELECT doc_id, CASE WHEN len({_LATIN_WORDS}) > 0 AND {_SHARE} >= 0.5 THEN 'en' ELSE 'unknown' END AS language, CASE WHEN len({_LATIN_WORDS}) = 0 THEN 0.0 ELSE round(round_even({_SHARE}, 4), 3) END AS score FROM documents",
+    "language_scores": f"SELECT doc_id, CASE WHEN len({_LATIN_WORDS}) > 0 AND {_SHARE} >= 0.5 THEN 'en' ELSE 'unknown' END AS language, CASE WHEN len({_LATIN_WORDS}) = 0 THEN 0.0 ELSE round_even({_SHARE}, 4) END AS score FROM documents",
     "exact_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS content_sha256 FROM documents WHERE text IS NOT NULL GROUP BY text",
     "split_assignment": f"SELECT source, {_DOC_SPLIT} AS split, count(*) AS n FROM documents GROUP BY ALL",
     "shard_sizes": f"SELECT CAST({_number('text')} % 16 AS INTEGER) AS shard, count(*) AS n FROM documents GROUP BY ALL",
@@ -333,7 +342,39 @@ WITH p AS (SELECT conv_id AS doc_id, turn AS pos, CASE WHEN role = 'assistant' T
 q AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(pos) OVER w = pos - 1 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM q)
 SELECT doc_id, label, min(pos) AS start, max(pos) + 1 AS "end" FROM r GROUP BY doc_id, run, label""",
-    "cluster_atlas": "WITH e AS (SELECT label AS cluster, (vec_id * 37 % 1009) / 1009.0 AS c FROM embeddings WHERE label <> -1) SELECT cluster, count(*) AS size, round(count(*) / (SELECT count(*) FROM e), 9) AS share, round(avg(c), 9) AS mean_confidence FROM e GROUP BY cluster",
+    "cluster_atlas": f"""
+WITH e AS (SELECT vec_id, label AS cluster, (vec_id * 37 % 1009) / 1009.0 AS c, 'domain' || CAST(vec_id % 7 AS VARCHAR) AS domain, 'source' || CAST(vec_id % 5 AS VARCHAR) AS source, 'register' || CAST(vec_id % 3 AS VARCHAR) AS register FROM embeddings WHERE label <> -1),
+{", ".join(_top_sql(c) for c in ("domain", "source", "register"))},
+x AS (SELECT cluster, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY place) AS exemplars FROM (SELECT cluster, vec_id, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, vec_id) AS place FROM e) WHERE place <= 5 GROUP BY cluster),
+b AS (SELECT cluster, count(*) AS size, round(count(*) / (SELECT count(*) FROM e), 9) AS share, round(avg(c), 9) AS mean_confidence FROM e GROUP BY cluster)
+SELECT cluster, size, share, mean_confidence, registers[1] || ' / ' || domains[1] || ' / via ' || sources[1] AS label, array_to_string(domains, ',') AS domains, array_to_string(sources, ',') AS sources, array_to_string(registers, ',') AS registers, exemplars
+FROM b JOIN tdomain USING (cluster) JOIN tsource USING (cluster) JOIN tregister USING (cluster) JOIN x USING (cluster)""",
+    "capped_documents": f"""
+WITH d AS (SELECT doc_id, {_DOC_SPLIT} AS split FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256('cap:' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM d),
+z AS (SELECT count(*) AS n, count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val FROM d),
+q AS (SELECT n, n_val, least(round_even(120 * n_test::DOUBLE / n, 0), n_test) AS q_test, least(round_even(120 * n_train::DOUBLE / n, 0), n_train) AS q_train FROM z)
+SELECT doc_id, split FROM k, q WHERE n <= 120 OR place <= CASE split WHEN 'test' THEN q_test WHEN 'train' THEN least(q_train, 120 - q_test) ELSE least(n_val, 120 - q_test - least(q_train, 120 - q_test)) END""",
+    # the budget here exceeds the floors, so the deal by rounds never applies
+    "cluster_selection": f"""
+WITH e AS (SELECT vec_id AS sample_id, label AS cluster, (vec_id * 37 % 1009) / 1009.0 AS confidence FROM embeddings WHERE label <> -1),
+z AS (SELECT cluster, count(*) AS size, {_number("'cluster_' || CAST(cluster AS VARCHAR) || " + f"'|{H.SPLIT_SALT}'")} / 4294967295.0::DOUBLE < 0.25::DOUBLE AS low FROM e GROUP BY cluster),
+h AS (SELECT cluster, size, CASE WHEN bool_and(low) OVER () THEN false WHEN bool_or(low) OVER () THEN low ELSE count(*) OVER () > 1 AND row_number() OVER (ORDER BY size, cluster DESC) = 1 END AS held FROM z),
+s AS (SELECT cluster, size, least(size, 10) AS least_rows, (200 - sum(least(size, 10)) OVER ()) * size::DOUBLE / sum(size) OVER () AS exact FROM h WHERE NOT held),
+q AS (SELECT cluster, size, exact - floor(exact) AS part, least(least_rows + CAST(floor(exact) AS BIGINT), size) AS quota FROM s),
+r AS (SELECT cluster, quota, size, row_number() OVER (ORDER BY quota >= size, part DESC, cluster) AS turn, 200 - sum(quota) OVER () AS open FROM q),
+f AS (SELECT cluster, quota + CASE WHEN quota < size AND turn <= open THEN 1 ELSE 0 END AS quota FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY confidence DESC, sample_id) AS place FROM e)
+SELECT sample_id, cluster, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN held THEN 'holdout' ELSE 'train' END AS pool FROM k JOIN h USING (cluster) LEFT JOIN f USING (cluster) WHERE held OR place <= quota""",
+    "source_manifest": f"""
+WITH d AS (SELECT source, {_DOC_SPLIT} AS split, {_number("CAST(doc_id AS VARCHAR)", 12)} AS h FROM documents)
+SELECT source, count(*) AS n, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, sha256(CAST(count(*) AS VARCHAR) || '/' || CAST(sum(h) AS VARCHAR)) AS ids_sha256 FROM d GROUP BY source""",
+    # a sentence's end is marked by a character that no text holds, as this dialect has no look-behind
+    "quotes": r"""
+WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(list_transform(parts, lambda x: trim(x, ' '))) AS quote, generate_subscripts(parts, 1) AS pos FROM s),
+f AS (SELECT doc_id, lower(quote) AS folded, min(pos) AS pos, arg_min(quote, pos) AS quote FROM e WHERE length(quote) BETWEEN 28 AND 240 GROUP BY ALL),
+k AS (SELECT doc_id, quote, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM f)
+SELECT doc_id, CAST(r - 1 AS INTEGER) AS place, quote FROM k WHERE r <= 8""",
     "decided": f"""
 WITH {_SCORES}, human AS (SELECT s, row_number() OVER (ORDER BY s) AS r, count(*) OVER () AS n FROM scores WHERE y = 0),
 c AS (SELECT s AS cut FROM human WHERE r = least(greatest(ceil((1.0::DOUBLE - 0.05::DOUBLE) * n), 1), n)),
