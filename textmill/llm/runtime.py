@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.operators.tables import shared_folder
+
 #: Bytes of an Arrow batch between the JVM and its Python workers, so that long texts do not fill either.
 BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        at = tempfile.mkdtemp(prefix="textmill-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+    """The folder that driver and executors share; a local one only where none is set and all runs on this machine, as in tests."""
+    return shared_folder(spark)
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
@@ -33,6 +26,11 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many partitions as a shuffle has: a small table whose rows are about to multiply may lie in very few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.components import components
-from textmill.llm.runtime import map_batches, staged
+from textmill.llm.runtime import dealt, map_batches, staged
 
 SEGMENT_BITS = 32
 MAX_DISTANCE = 4
@@ -83,9 +83,10 @@ def _ball(value: Column, bits: int) -> Column:
 
 def _near(fps: DataFrame) -> DataFrame:
     """Pairs that are linked by a common neighbour in the full ball: a chain to the smallest of each place."""
-    filed = fps.select("fp", F.explode(_ball(F.col("fp"), 64)).alias("place"))
+    filed = dealt(fps, "fp").select("fp", F.explode(_ball(F.col("fp"), 64)).alias("place"))
     least = filed.groupBy("place").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a != top")
-    return filed.join(least, "place").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    # written, so that Spark knows its size: nearly all places hold one print, and a small table spares the filed rows a second shuffle
+    return filed.join(staged(least, "simhash-places"), "place").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def _across(grouped: DataFrame, max_distance: int) -> DataFrame:
@@ -94,8 +95,10 @@ def _across(grouped: DataFrame, max_distance: int) -> DataFrame:
     high = F.shiftrightunsigned("fp", SEGMENT_BITS)
     # the table's number is kept in bit 32, which no 32-bit segment uses
     tables = F.flatten(F.array(_ball(low, SEGMENT_BITS), _ball(high.bitwiseOR(F.lit(1 << SEGMENT_BITS)), SEGMENT_BITS)))
-    filed = grouped.select("fp", "comp", F.explode(tables).alias("place"))
+    filed = dealt(grouped, "fp").select("fp", "comp", F.explode(tables).alias("place"))
     mixed = filed.groupBy("place").agg(F.min("comp").alias("least"), F.max("comp").alias("top")).where("least != top")
+    # written for its size, as in _near
+    mixed = staged(mixed, "simhash-places")
     met = staged(filed.join(mixed, "place"), "simhash-met")
     left = met.where("comp != least").select("place", F.col("fp").alias("fp_a"), F.col("comp").alias("b"))
     right = met.where("comp != top").select("place", F.col("fp").alias("fp_b"), F.col("comp").alias("a"))
