@@ -104,5 +104,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": sql.SHARDING,
+    "op5_substring_dedup": sql.SUBSTRING_DEDUP,
     "op8_word_rollup": sql.TOKEN_ROLLUP,
 }

@@ -16,3 +16,26 @@ rows AS (
 )
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM rows GROUP BY ALL
 """
+
+#: CRC-32 byte by byte with the table that its polynomial gives; parts are compared as the doubles that the operator orders by.
+SHARDING = r"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) AS crc),
+b AS (SELECT doc_id, source, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, source, CAST(strlen(text) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+h AS (SELECT *, coalesce('=' || source, '') AS stratum, CAST('0x' || substr(md5(concat_ws(':', 42, doc_id, text_crc32, size)), 1, 15) AS BIGINT) AS hash FROM d),
+p AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY hash, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS part FROM h),
+o AS (SELECT *, row_number() OVER (ORDER BY part, stratum, hash, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS n FROM p),
+s AS (SELECT *, CAST(place * 16 // n AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, CAST(place - (shard * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM s
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i : i + 19], ' '))) AS spans FROM d WHERE len(w) >= 20),
+v AS (SELECT doc_id, unnest(spans) AS span, generate_subscripts(spans, 1) AS pos FROM l),
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) > 1 AS later FROM v),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM k WHERE later),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
