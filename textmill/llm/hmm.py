@@ -218,7 +218,7 @@ def _entries(model: Model, runs: Runs, backward: bool) -> tuple[np.ndarray, np.n
             break
         if t:
             product[:active] = (product[:active].reshape(-1, k) @ model.move).reshape(-1, k, k)
-        product[:active] *= model.emit[now[several[:active]]][:, None]
+        product[:active] *= model.emit.take(now[several[:active]], axis=0)[:, None]
         if t % SCALED == SCALED - 1:
             product[:active] /= product[:active].sum(axis=(1, 2), keepdims=True)
     product /= product.sum(axis=(1, 2), keepdims=True)
@@ -250,36 +250,40 @@ def expect(model: Model, symbols: np.ndarray, first: np.ndarray) -> Expected:
     if not len(runs.length):
         return Expected(emit, moved, np.zeros(k), likelihood)
     begin, end, _ = _entries(model, runs, True)
+    # states are scaled to a sum of 1 at every token, so single precision holds them; counts and logarithms are summed in double
+    emission, move, begin, back = (x.astype(np.float32) for x in (model.emit, move, begin, end))
+    # row sums as products: numpy's own over a short last axis are several times slower
+    ones = np.ones(k, dtype=np.float32)
     # kept by place: as many rows as there are tokens, whatever the lengths
     alpha, state = [], begin
     for t in range(runs.longest):
         now = runs.at(t)
-        state = (state if t == 0 else state[: len(now)] @ move) * model.emit[now]
-        scale = state.sum(axis=1)
-        likelihood += float(np.log10(scale).sum())
-        state = state / scale[:, None]
-        alpha.append(state.astype(np.float32))
+        # a new array, as begin is read again below
+        state = (state if t == 0 else state[: len(now)] @ move) * emission.take(now, axis=0)
+        scale = state @ ones
+        likelihood += float(np.log10(scale).sum(dtype=float))
+        state /= scale[:, None]
+        alpha.append(state)
     # moves between runs that follow each other; only full runs are followed
     joined = np.flatnonzero(runs.next >= 0)
     last = alpha[RUN - 1][joined] if len(joined) else None
-    back = end.copy()
     for t in range(runs.longest - 1, -1, -1):
         now = runs.at(t)
         m = len(now)
-        gamma = alpha[t] * back[:m]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        alpha[t] = gamma.astype(np.float32)
+        ahead = emission.take(now, axis=0) * back[:m] if t else None
+        gamma = alpha[t]
+        gamma *= back[:m]
+        gamma /= (gamma @ ones)[:, None]
         if t:
-            ahead = model.emit[now] * back[:m]
             led = ahead @ move.T
             before = alpha[t - 1][:m]
             # the chance of this token with all that follows, given what was before it
-            weight = (before * led).sum(axis=1, keepdims=True)
+            weight = ((before * led) @ ones)[:, None]
             moved += before.T @ (ahead / weight)
             back[:m] = led / weight
     if len(joined):
         ahead = runs.next[joined]
-        moved += last.T @ (alpha[0][ahead] / np.maximum(begin[ahead], 1e-300))
+        moved += last.T @ (alpha[0][ahead] / np.maximum(begin[ahead], np.float32(1e-37)))
     at = np.concatenate([runs.at(t) for t in range(runs.longest)])
     for s in range(k):
         emit[:, s] = np.bincount(at, weights=np.concatenate([g[:, s] for g in alpha]), minlength=len(emit))
@@ -382,11 +386,11 @@ def forward(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     runs = runs_of(symbols, first)
     begin, _, _ = _entries(model, runs, False)
     out = np.zeros(len(runs.length))
-    state = begin
+    state, ones = begin, np.ones(len(model.start))
     for t in range(runs.longest):
         now = runs.at(t)
-        state = (state if t == 0 else state[: len(now)] @ model.move) * model.emit[now]
-        scale = state.sum(axis=1)
+        state = (state if t == 0 else state[: len(now)] @ model.move) * model.emit.take(now, axis=0)
+        scale = state @ ones
         out[: len(now)] += np.log10(scale)
         state = state / scale[:, None]
     return np.bincount(runs.text, out, minlength=len(first) - 1)
