@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import sql
 from textmill.llm.runtime import documents, shared_dir
+from textmill.llm.secrets import PACKS
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), labels).select(*columns)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from textmill.llm.secrets import document_secrets
+
+    return document_secrets(documents(spark, sf_dir), f"{shared_dir(spark)}/secrets-{uuid4().hex}")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.merkle import document_manifest
+
+    return document_manifest(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.conversations import damaged, digests, repair
+
+    return digests(repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -101,10 +122,16 @@ QUERIES = {
     "op8_word_rollup": op8_word_rollup,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": sql.SHARDING,
     "op5_substring_dedup": sql.SUBSTRING_DEDUP,
     "op8_word_rollup": sql.TOKEN_ROLLUP,
+    "op11_secret_scan": sql.secrets(PACKS),
+    "op12_merkle_manifest": sql.manifest(),
+    "op13_conversation_repair": sql.repairs(),
 }
