@@ -63,16 +63,20 @@ FORMATS = Pack("formats", (
 ))
 PACKS = (BASE, FORMATS)
 
-#: Rows that may be broadcast: a blob or a finding is about 100 bytes.
-BROADCAST_ROWS = 100_000
+#: Bytes of a blob or of a finding, about; as many of them are broadcast as the session's threshold of broadcasts allows.
+ROW_BYTES = 120
 
 _SCANNED = "blob string, packs array<string>"
 _FINDINGS = "blob string, pack string, kind string, start int, end int"
 
 
+def _broadcast_rows(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) // ROW_BYTES
+
+
 def _hinted(rows: DataFrame, n: int) -> DataFrame:
     """rows to join with: broadcast if they are few, else hashed within the partitions of a shuffle, so that texts are not sorted."""
-    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows.hint("shuffle_hash")
+    return F.broadcast(rows) if n <= _broadcast_rows(rows.sparkSession) else rows.hint("shuffle_hash")
 
 
 def _lengths(texts: Column) -> Column:
@@ -158,8 +162,8 @@ class BlobLedger:
         rank = reduce(lambda at, k: at.when(F.col("kind") == k[1], k[0]), enumerate(kinds), F).otherwise(len(kinds))
         found = self._read("findings", _FINDINGS).where(F.col("pack").isin([p.version for p in packs]))
         spans = found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
-        # a broadcast has BROADCAST_ROWS findings at most
-        few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        most = _broadcast_rows(self.spark)
+        few = found.limit(most + 1).count() <= most
         none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
         return paths.join(F.broadcast(spans) if few else spans, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
