@@ -188,7 +188,7 @@ def test_mining_and_clusters(spark):
     pool = mining.scored(docs, lambda: lambda texts: [0.97 if "xxx" in t else 0.02 for t in texts])
     found = mining.false_positives(pool, 0.5)
     assert found.count() == 20 and mining.false_negatives(pool, 0.5).count() == 10
-    clusters = mining.kmeans(mining.embed(found), 2)
+    clusters = mining.kmeans(mining.embed(found), 2).labels
     assert clusters.count() == 20
     assert mining.cluster_summary(found.join(clusters, "sample_id")).agg(F.sum("size")).first()[0] == 20
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import dedup
-from textmill.operators.tables import require_empty
+from textmill.operators.tables import checkpointed, require_empty
 
 CONTAMINATION_THRESHOLD = 0.5
 # Prompt families that each arm may train on.
@@ -26,23 +26,30 @@ def exact_overlap(train: DataFrame, evaluation: DataFrame, *, normalise: bool =
     return evaluation.withColumn("h", key).join(known, "h").select("doc_id", "train_id")
 
 
+def _signed(docs: DataFrame, params: dedup.LshParams, what: str) -> DataFrame:
+    """doc_id, h (the canonical hash) and signature: each text is normalised, hashed and signed once, and what is read again is written without it."""
+    clean = docs.select("doc_id", T.normalize("text").alias("text")).withColumn("h", H.sha256("text"))
+    return checkpointed(dedup.signatures(clean, params, digest="h").withColumnRenamed("digest", "h"), what)
+
+
 def contamination(train: DataFrame, evaluation: DataFrame, threshold: float = CONTAMINATION_THRESHOLD) -> DataFrame:
     """doc_id, kind (exact or near), train_id and jaccard: one row for each evaluation document that training holds or resembles.
 
     Bands join classes of equal signatures, not documents; of several hits the most
-    similar is told, then the smallest id.
+    similar is told, then the smallest id.  Null texts equal and resemble nothing; texts
+    without words may be equal, but resemble nothing.
     """
     params = dedup.LshParams(threshold=threshold)
-    exact = exact_overlap(train, evaluation).withColumns({"kind": F.lit("exact"), "jaccard": F.lit(1.0)})
-    rest = evaluation.join(exact.select("doc_id"), "doc_id", "left_anti")
-    signed_eval = dedup.signatures(rest.withColumn("text", T.normalize("text")), params)
-    signed_train = dedup.signatures(train.withColumn("text", T.normalize("text")), params)
-    eval_heads, train_heads = dedup.classes(signed_eval), dedup.classes(signed_train)
-    pairs = dedup.similar_pairs(eval_heads, train_heads, params)
-    best = pairs.groupBy("a").agg(F.max("jaccard").alias("jaccard"), F.max_by(F.struct("jaccard", "b"), F.struct("jaccard", -F.xxhash64("b"))).alias("m"))
-    led = signed_eval.join(eval_heads.withColumnRenamed("doc_id", "a"), "signature").select("doc_id", "a").join(best, "a")
-    near = led.select("doc_id", F.col("m.b").alias("train_id"), F.lit("near").alias("kind"), "jaccard")
-    return exact.select("doc_id", "kind", "train_id", "jaccard").unionByName(near.select("doc_id", "kind", "train_id", "jaccard"))
+    items, known = _signed(evaluation, params, "evaluation-signed"), _signed(train, params, "train-signed")
+    first = known.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("train_id"))
+    told = items.join(first, "h", "left")
+    exact = told.where("train_id is not null").select("doc_id", F.lit("exact").alias("kind"), "train_id", F.lit(1.0).alias("jaccard"))
+    rest = told.where(F.col("train_id").isNull() & dedup.has_words()).select("doc_id", "signature")
+    heads = dedup.classes(rest)
+    pairs = dedup.similar_pairs(heads, dedup.classes(known.where(dedup.has_words()).select("doc_id", "signature")), params)
+    best = pairs.groupBy("a").agg(F.max("jaccard").alias("jaccard"), F.min_by("b", F.struct(-F.col("jaccard"), "b")).alias("train_id"))
+    led = rest.join(heads.withColumnRenamed("doc_id", "a"), "signature").select("doc_id", "a").join(best, "a")
+    return exact.unionByName(led.select("doc_id", F.lit("near").alias("kind"), "train_id", "jaccard"))
 
 
 def require_clean(found: DataFrame, name: str) -> None:

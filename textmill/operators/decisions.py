@@ -39,9 +39,10 @@ def decide(score: Column | str, policy: Policy) -> Column:
     """
     s, t = _col(score), policy.threshold
     sound = F.when(s.isNull() | s.between(0.0, 1.0), s).otherwise(F.raise_error(F.concat(F.lit("not a probability: "), s.cast("string"))))
-    within = F.lit(False) if policy.low is None else (s >= policy.low) & (s < policy.high)
-    verdict = F.when(s.isNull(), None).when(within, "uncertain").when(s >= t, "ai").otherwise("human")
-    return F.struct(verdict.alias("verdict"), (F.abs(sound - t) / max(t, 1 - t)).alias("confidence"), F.when(s.isNotNull(), within).alias("abstained"))
+    # all fields are made from the guarded score, as a query may read any of them alone
+    within = F.lit(False) if policy.low is None else (sound >= policy.low) & (sound < policy.high)
+    verdict = F.when(sound.isNull(), None).when(within, "uncertain").when(sound >= t, "ai").otherwise("human")
+    return F.struct(verdict.alias("verdict"), (F.abs(sound - t) / max(t, 1 - t)).alias("confidence"), F.when(sound.isNotNull(), within).alias("abstained"))
 
 
 def band(scores: DataFrame, fpr_budget: float, share: float = 0.02) -> tuple[float, float, float]:

@@ -116,18 +116,24 @@ def minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, params: LshParams = LshParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and signature (array of longs) of every row; null texts count as empty."""
+def signatures(docs: DataFrame, params: LshParams = LshParams(), key: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
+    """key, digest (a string column, if named) and signature (array of longs) of every row; null texts count as empty."""
     a, b = coefficients(params.permutations)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             found = [minhash(shingle_hashes(t or "", params.shingle_words), a, b).astype(np.int64) for t in part["text"]]
-            yield pd.DataFrame({"key": part["key"], "signature": found})
+            yield pd.DataFrame({"key": part["key"], "digest": part["digest"], "signature": found})
 
     kind = docs.schema[key].dataType.simpleString()
-    made = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(rows, f"key {kind}, signature array<bigint>")
-    return made.withColumnRenamed("key", key)
+    kept = F.col(digest) if digest else F.lit(None).cast("string")
+    made = docs.select(F.col(key).alias("key"), kept.alias("digest"), F.col(text).alias("text")).mapInPandas(rows, f"key {kind}, digest string, signature array<bigint>")
+    return made.withColumnRenamed("key", key) if digest else made.drop("digest").withColumnRenamed("key", key)
+
+
+def has_words(signature: str = "signature"):
+    """Whether a signature is of a text with words: one without has all ones."""
+    return F.array_min(signature) < LOW32
 
 
 @F.pandas_udf(BooleanType())

@@ -88,7 +88,7 @@ def neighbours(docs: DataFrame, salt: str = "splice-control") -> DataFrame:
     ranges of hashes and texts are joined by id afterwards.  Documents that are alone in
     their split give no pair.
     """
-    ranked = numbered(docs.select("doc_id", "split"), "split", H.ranked("doc_id", salt), "place")
+    ranked = numbered(docs.select("doc_id", "split"), "split", H.ranked("doc_id", salt), "place", ties=("doc_id",))
     sizes = docs.groupBy(F.col("split").alias("__s")).agg(F.count(F.lit(1)).alias("__size"))
     # one row for each split
     turned = ranked.join(F.broadcast(sizes), F.col("split").eqNullSafe(F.col("__s"))).where("__size > 1")

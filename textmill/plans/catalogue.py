@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import attacks, attributes, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
-from textmill.operators import audits, cleaning, decisions, dedup, lake, metrics, mining, mixtures, sampling
+from textmill.operators import audits, cleaning, decisions, dedup, density, lake, metrics, mining, mixtures, sampling
 from textmill.operators.tables import checkpointed, spread
 from textmill.sources import pools, readers
 
@@ -246,12 +246,38 @@ def splice_controls(spark, sf):
     return made.select("doc_id", "human_source_id", "ai_source_id", "split", H.sha256("text").alias("text_sha256"), F.size("spans").alias("n_spans"), F.round(spans.ai_char_fraction(F.col("text"), F.col("spans")), 9).alias("ai_share"))
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").alias("cluster"))
+
+
+def density_clusters(spark, sf):
+    """Density clusters of all vectors."""
+    return density.hdbscan(_vectors(spark, sf).drop("cluster"), density.Density(10))
+
+
+def kmeans_clusters(spark, sf):
+    """Sizes and costs of ten clusters of all vectors."""
+    found = mining.kmeans(_vectors(spark, sf).drop("cluster"), 10)
+    return found.labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("sample_id").alias("first")).withColumns({"converged": F.lit(found.converged), "rounds": F.lit(found.rounds)})
+
+
+def cluster_silhouette(spark, sf):
+    """Mean silhouette of the vectors' labels: 2,000 vectors (all of the smaller tables) against all."""
+    return spark.createDataFrame([(round(mining.silhouette(_vectors(spark, sf)), 6),)], "silhouette double")
+
+
+def atlas_warnings(spark, sf):
+    """What speaks against the clusters of cluster_atlas."""
+    found = mining.quality_warnings(cluster_atlas(spark, sf), mining.silhouette(_vectors(spark, sf)), "hashing_v1")
+    return found.withColumn("value", F.round("value", 6))
+
+
 QUERIES = {f.__name__: f for f in (
     cleaning_funnel, cleaned_documents, text_statistics, language_scores, personal_data, exact_dedup, near_duplicates, split_assignment, shard_sizes,
     regime_rates, fpr_threshold, condition_cost, discordant_pairs, value_drift, group_scores, hash_subsample, labelled_subsample, capped_documents,
     matched_cap, length_bins, interleaved, cluster_selection, exact_contamination, contamination, leaking_groups, unseen_domain, token_windows,
     role_segments, page_text, quotes, attack_report, source_manifest, cluster_atlas, whole_cleaning_funnel, whole_exact_contamination,
-    decided, training_rows, document_attributes, decodings, splice_controls,
+    decided, training_rows, document_attributes, decodings, splice_controls, density_clusters, kmeans_clusters, cluster_silhouette, atlas_warnings,
 )}
 
 _TEXT = "coalesce(text, '')"
@@ -391,3 +417,16 @@ WITH d AS (SELECT doc_id, {_TOKENS} AS n, {_number("CAST(doc_id AS VARCHAR) || '
 SELECT doc_id, CAST(CASE WHEN k = 6 THEN 0.0 ELSE [0.6, 0.8, 1.0][k // 2 + 1] END AS DOUBLE) AS temperature, CAST(CASE WHEN k = 6 THEN 1.0 ELSE [0.9, 0.95][k % 2 + 1] END AS DOUBLE) AS top_p,
   CAST(greatest(96, least(floor(CAST(n AS DOUBLE) * 1.35::DOUBLE * 1.3::DOUBLE), 1024)) AS INTEGER) AS max_new_tokens, seed FROM d WHERE n > 0""",
 }
+
+_SILHOUETTE = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label <> -1),
+d AS (SELECT a.vec_id, a.label = b.label AS own, CASE WHEN a.label = b.label THEN sum(list_distance(a.v, b.v)) / nullif(a.n - 1, 0) ELSE avg(list_distance(a.v, b.v)) END AS d FROM e a, e b GROUP BY a.vec_id, a.label, b.label, a.n),
+s AS (SELECT vec_id, max(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM d GROUP BY vec_id)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL"""
+ORACLE_SQL["cluster_silhouette"] = _SILHOUETTE
+ORACLE_SQL["atlas_warnings"] = f"""
+WITH atlas AS ({ORACLE_SQL["cluster_atlas"]}), q AS ({_SILHOUETTE}), big AS (SELECT cluster, share FROM atlas ORDER BY size DESC, cluster LIMIT 1)
+SELECT 'low_silhouette' AS kind, NULL AS subject, silhouette AS value FROM q WHERE silhouette < 0.4
+UNION ALL SELECT 'surface_embedder', 'hashing_v1', NULL
+UNION ALL SELECT 'dominant_cluster', CAST(cluster AS VARCHAR), round(share, 6) FROM big WHERE share > 0.5
+UNION ALL SELECT 'shared_label', label, count(*) FROM atlas GROUP BY label HAVING count(*) > 1"""

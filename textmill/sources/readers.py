@@ -8,6 +8,7 @@ from __future__ import annotations
 import gzip
 import html.parser
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -119,24 +120,41 @@ def wet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 class _Visible(html.parser.HTMLParser):
+    """Text outside hidden elements.  An end tag closes the hidden elements that were opened within it and not closed, so one that stays open hides what its parent holds, not the rest of the page."""
+
     HIDDEN = {"script", "style", "nav", "header", "footer", "aside", "noscript"}
+    #: Elements that are never closed, or whose end may be left out.
+    LOOSE = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "p", "li", "dt", "dd", "option", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "rt", "rp"}
 
-    def __init__(self):
+    def __init__(self, body: bool):
         super().__init__(convert_charrefs=True)
-        self.depth, self.body, self.parts = 0, False, []
+        self.open, self.hidden, self.body, self.parts = [], 0, body, []
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.HIDDEN
-        self.body |= tag == "body"
+        if tag == "body":
+            # what was left open before it was head
+            self.open, self.hidden, self.body = [], 0, True
+        elif tag == "main" and self.hidden:
+            # the page's content is no part of a header or menu that was left open
+            self.open, self.hidden = [], 0
+        if tag not in self.LOOSE:
+            self.open.append(tag)
+            self.hidden += tag in self.HIDDEN
 
     def handle_endtag(self, tag):
-        self.depth -= tag in self.HIDDEN and self.depth > 0
+        if tag in self.open:
+            while (last := self.open.pop()) != tag:
+                self.hidden -= last in self.HIDDEN
+            self.hidden -= tag in self.HIDDEN
 
     def handle_data(self, data):
-        if self.body and not self.depth and data.strip():
+        if self.body and not self.hidden and data.strip():
             self.parts.append(data.strip())
 
 
+_BODY = re.compile(r"<body[\s>/]", re.I)
+
+
 @F.pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     """Visible text of HTML bodies, one line for each run of text."""
@@ -144,8 +162,9 @@ def html_text(pages: pd.Series) -> pd.Series:
     def visible(page: str | None) -> str | None:
         if page is None:
             return None
-        parser = _Visible()
-        parser.feed(page if "<body" in page else f"<body>{page}")
+        parser = _Visible(body=not _BODY.search(page))
+        parser.feed(page)
+        parser.close()
         return "\n".join(parser.parts)
 
     return pages.map(visible)
