@@ -183,19 +183,12 @@ def classes(signed: DataFrame, key: str = "doc_id") -> DataFrame:
     return signed.groupBy("signature").agg(F.min(key).alias(key))
 
 
-def near_duplicates(docs: DataFrame, params: LshParams = LshParams(), key: str = "doc_id") -> DataFrame:
-    """key and duplicate_of of the documents that the greedy pass drops, in the order of key.
+def settled(edges: DataFrame) -> DataFrame:
+    """node and kept over edges (a, b), a before b: the greedy pass in order, by rounds.
 
-    A document is dropped if it resembles an earlier kept one.  Equal signatures are
-    settled by an aggregate.  Then, in rounds: a document whose earlier neighbours are all
-    dropped is kept, and one with a kept earlier neighbour is dropped; each round is a
-    join, and the number of rounds is the longest chain of undecided neighbours.  What is
-    carried on between rounds is written to the shared folder.
+    A node whose earlier neighbours are all dropped is kept, and one with a kept earlier
+    neighbour is dropped; what is carried on between rounds is written.
     """
-    signed = checkpointed(signatures(docs, params, key), "signatures")
-    heads = classes(signed, key)
-    # texts without words share the signature of ones, and resemble each other as they do anyway
-    edges = checkpointed(similar_pairs(heads, heads, params, key, ordered=True), "near-pairs")
     state = checkpointed(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "near-state")
     while not state.where("kept is null").isEmpty():
         earlier = edges.join(state.select(F.col("node").alias("a"), "kept"), "a").groupBy("b").agg(
@@ -203,6 +196,21 @@ def near_duplicates(docs: DataFrame, params: LshParams = LshParams(), key: str =
         )
         told = F.when(F.col("beside_kept"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
         state = checkpointed(state.join(earlier.withColumnRenamed("b", "node"), "node", "left").select("node", F.coalesce("kept", told).alias("kept")), "near-state")
+    return state
+
+
+def near_duplicates(docs: DataFrame, params: LshParams = LshParams(), key: str = "doc_id") -> DataFrame:
+    """key and duplicate_of of the documents that the greedy pass drops, in the order of key.
+
+    A document is dropped if it resembles an earlier kept one.  Equal signatures are
+    settled by an aggregate, the others in rounds of joins; the number of rounds is the
+    longest chain of undecided neighbours.
+    """
+    signed = checkpointed(signatures(docs, params, key), "signatures")
+    heads = classes(signed, key)
+    # texts without words share the signature of ones, and resemble each other as they do anyway
+    edges = checkpointed(similar_pairs(heads, heads, params, key, ordered=True), "near-pairs")
+    state = settled(edges)
     kept = state.where("kept").select(F.col("node").alias("a"))
     # the most similar kept neighbour before it, the smallest of several
     best = edges.join(kept, "a").groupBy("b").agg(F.max(F.struct("jaccard", (-F.xxhash64("a")).alias("turn"), "a")).alias("m")).select("b", F.col("m.a").alias("of"))
