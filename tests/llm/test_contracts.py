@@ -306,7 +306,8 @@ def test_licence_scores_are_those_of_the_model(spark):
         grams = L._grams(t)
         z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.bias))) / np.sqrt(max(len(grams), 1))
         p = np.exp(z) / np.exp(z).sum()
-        told = model.families[int(p[:-1].argmax())] if p[:-1].max() >= model.threshold else "unknown"
+        top = model.families[int(p[:-1].argmax())]
+        told = top if p[:-1].max() >= model.threshold and not L.contradicts(top, t) else "unknown"
         r = got.get((k, 0))
         if r is None:
             # without a word that speaks for a family, the model cannot name one
@@ -315,3 +316,39 @@ def test_licence_scores_are_those_of_the_model(spark):
             assert r.probability == pytest.approx(p[:-1].max(), rel=1e-6) and r.family == told
         right += told == family
     assert right >= 0.9 * len(texts)
+
+
+def test_licences_next_to_a_family_are_not_confirmed(spark):
+    from textmill.llm import licences as L
+
+    neighbours = [
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.",
+        "Released under the BSD 2-Clause License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC",
+        "Licensed under the Eclipse Public License, v. 2.0.", "SPDX-License-Identifier: EPL-2.0",
+        "Licensed under CC BY-NC-ND 4.0.", "This work is not licensed under the MIT License.", "Released under the GPL version 2.", "SPDX-License-Identifier: AGPL-3.0-only",
+        "Licensed under the Apache License, Version 1.1.", "Licensed under the Mozilla Public License 1.1.", "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+    ]
+    own = {
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the GPL version 3.": "gpl-3.0", "Licensed under CC BY 4.0.": "cc-by-4.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "Released under the BSD 3-Clause License.": "bsd-3-clause", "Released under the MIT License.": "mit", "All rights reserved.": "proprietary",
+    }
+    rows = L.scan(spark.createDataFrame(list(enumerate([*neighbours, *own])), "doc_id long, text string")).collect()
+    named = {}
+    for r in rows:
+        named.setdefault(r.doc_id, set()).add((r.family, r.confirmed))
+    assert {i: x for i, x in named.items() if i < len(neighbours) and x != {("unknown", False)}} == {}
+    assert [named[len(neighbours) + k] for k in range(len(own))] == [{(f, True)} for f in own.values()]
+
+
+def test_licence_hold_out_is_of_whole_phrases_and_foreign_names():
+    from textmill.llm import licences as L
+
+    rows = L.labelled_paragraphs()
+    held = [(f, t) for f, t in rows if L.held_out(t)]
+    assert 0.1 < len(held) / len(rows) < 0.5 and any(f == "unknown" for f, _ in held)
+    phrases = L.PHRASES[3::4]
+    assert all(L.held_out(p.format(n)) for p in phrases for names in L.NAMES.values() for n in names)
+    assert 0.3 < L.train().threshold < 0.95

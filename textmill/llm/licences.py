@@ -3,10 +3,11 @@
 A paragraph is a run of lines between blank lines; a line that ends a sentence or is short
 or long ends one too, so that hard-wrapped licence texts are put together again and lists
 of statements are not.  Distinct word 1- and 2-grams of a paragraph are the features of a
-multinomial logistic regression over licence families and the class ``unknown``.  The
+multinomial logistic regression over licence families and the class ``unknown``, which
+knows the licences next to the families too (other versions, variants and denials).  The
 model is fitted once, on the driver, on the labelled paragraphs below: statements made
 from licence names and phrases, clauses of licence texts, statements of licences that are
-no known family, and ordinary prose.  A quarter of them is held out; on it the temperature
+no known family, and ordinary prose.  Whole phrases and whole foreign licences are held out; on them the temperature
 and the threshold of ``unknown`` are fitted.  Weights are relative to ``unknown``, and
 grams that speak for no family by MARGIN at least are left out.
 
@@ -91,7 +92,15 @@ NAMES: dict[str, tuple[str, ...]] = {
     "bsd-3-clause": ("BSD 3-Clause License", "BSD-3-Clause", "3-clause BSD license", "modified BSD license", "New BSD License", "BSD-style license"),
     "mpl-2.0": ("Mozilla Public License 2.0", "MPL-2.0", "MPL 2.0", "Mozilla Public License, version 2.0"),
     "proprietary": (),
-    UNKNOWN: ("Foobar Public License", "open data terms of the city", "community licence", "Sunrise Source License 1.0", "custom agreement", "terms that have not been stated", "house rules", "Example License, Version 3.0", "Northwind 4.0 International terms", "licence of the museum"),
+    UNKNOWN: (
+        "Foobar Public License", "open data terms of the city", "community licence", "Sunrise Source License 1.0", "custom agreement", "terms that have not been stated", "house rules",
+        "Example License, Version 3.0", "Northwind 4.0 International terms", "licence of the museum",
+        # licences that are next to a family, but none of it
+        "GNU General Public License v2.0", "GPLv2", "GPL-2.0-only", "GPL-2.0-or-later", "GNU GPL version 2", "GNU Lesser General Public License v2.1", "LGPL-2.1", "LGPL-3.0", "GNU Lesser General Public License, version 3",
+        "GNU Affero General Public License v3.0", "AGPL-3.0", "BSD 2-Clause License", "BSD-2-Clause", "Simplified BSD License", "ISC License", "ISC", "Eclipse Public License 2.0", "EPL-2.0", "CC BY-SA 4.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International", "CC-BY-SA-4.0", "CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0", "CC BY-NC-ND 4.0", "CC BY-NC-SA 4.0",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC0 1.0", "CC BY 3.0", "Apache License, Version 1.1", "Mozilla Public License 1.1", "MPL-1.1", "zlib License", "Boost Software License 1.0", "The Unlicense", "Artistic License 2.0", "European Union Public Licence 1.2",
+    ),
 }
 #: Phrases that state a licence, around its name.
 PHRASES = (
@@ -156,12 +165,29 @@ CLAUSES: dict[str, tuple[str, ...]] = {
         "Seats are reserved for the members of the club.", "All tables were reserved.", "The book was written by a student of mathematics at MIT.", "Apache helicopters were seen over the valley.",
         "She studied the commons and the creative arts.", "The document was kept confidential for thirty years.", "A later version of the program will be shown in May.", "Free software was given to schools.",
         "The attribution of the painting is not certain.", "Commercial and noncommercial flights share the runway.", "Any person can obtain a copy of the map at the desk.", "The conditions were met and the contract was signed.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This project is not licensed under the MIT License.", "The code is not released under the Apache License.", "It was never available under the GNU General Public License.",
         "The binary star was found in 2020.", "The foundation published its list of conditions.", "Distribution of food began in the morning.", "The name of the holder of the ticket must be given.",
     ),
 }
 _TOKEN = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 _PY_TOKEN = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 CONFIRM = 0.8
+#: Versions of the families that have them; a statement that names only others is of no family here.
+VERSIONS: dict[str, tuple[str, ...]] = {"apache-2.0": ("2", "2.0"), "gpl-3.0": ("3", "3.0"), "cc-by-nc-4.0": ("4", "4.0"), "cc-by-4.0": ("4", "4.0"), "mpl-2.0": ("2", "2.0")}
+#: Marks of licences that are next to a family but none of it, in lower case.
+FOREIGN = (
+    r"lesser|library general|affero|[la]gpl|share-?alike|by-(?:nc-)?sa\b|no-?deriv|by-(?:nc-)?nd\b|(?:[012]|zero|two)-clause|simplified bsd|\bisc\b|\bepl\b|eclipse public|zlib|\bcc0|unlicense|artistic licen|boost software|\beupl\b|european union public"
+)
+#: Marks of the non-commercial family, which cc-by-4.0 must not have.
+NONCOMMERCIAL = r"non-?commercial|by-nc"
+#: A number that tells a licence's version.
+_VERSION = r"(?:versions?|\bv|licen[cs]es?|gpl|mpl|apache|asl|epl|eupl|\bby|\bnc|\bsa|\bnd|attribution|commercial|alike|derivatives|derivs)(?:\.|,? ?version| v\.?)?[ ,/-]{0,2}v?\.? ?(\d+(?:\.\d+)*)"
+#: A statement that a licence does not hold.
+DENIED = r"\b(?:not|never|no longer|isn't|neither|nor)(?: \w+){0,2} (?:licen[cs]ed|released|distributed|available|published|provided|covered|under)\b"
 #: What a gram must add to a family's score against unknown's to be a feature.
 MARGIN = 0.1
 #: Words too common to be features alone.
@@ -181,11 +207,26 @@ def labelled_paragraphs() -> list[tuple[str, str]]:
     return [(f, t) for f, t in made if t not in known]
 
 
-def held_out(text: str) -> bool:
-    """Whether a labelled paragraph is kept for calibration: a quarter, by hash."""
+def _drawn(text: str) -> bool:
     return sha256(text.encode()).digest()[0] < 64
 
 
+@lru_cache
+def _held_statements() -> frozenset[str]:
+    """Statements with a phrase that is held out (every fourth), or with a licence of no known family that is: calibration sees phrases and neighbours that the model has not."""
+    return frozenset(p.format(n) for f, names in NAMES.items() for n in names for p in PHRASES if p in PHRASES[3::4] or (f == UNKNOWN and _drawn(n)))
+
+
+def held_out(text: str) -> bool:
+    """Whether a labelled paragraph is kept for calibration: whole phrases, whole licences of no family and clauses, a quarter of these by hash."""
+    return text in _held_statements() or (text in _clauses() and _drawn(text))
+
+
+@lru_cache
+def _clauses() -> frozenset[str]:
+    return frozenset(t for texts in CLAUSES.values() for t in texts)
+
+
 def _grams(text: str) -> list[str]:
     w = _PY_TOKEN.findall(text.lower())
     return sorted({*(x for x in w if x not in PLAIN), *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if a not in PLAIN or b not in PLAIN)})
@@ -256,6 +297,9 @@ def train(rounds: int = 600, rate: float = 1.0, decay: float = 2e-4) -> Classifi
     best = min(steps, key=lambda t: -(each * np.log(chances(t)[np.arange(len(z)), y[out]])).sum())
     p = chances(best)[:, :-1]
     top, right = p.max(axis=1), p.argmax(axis=1) == y[out]
+    # what contradicts itself is unknown at any probability
+    held = [t for f, t in labelled_paragraphs() if held_out(t)]
+    top = np.where([contradicts(families[k], t) for k, t in zip(p.argmax(axis=1), held, strict=True)], 0.0, top)
     wrong = y[out] == len(families) - 1
     cuts = [c / 100 for c in range(30, 96)]
     threshold = min(cuts, key=lambda c: (((top >= c) & ~right).sum() + ((top < c) & ~wrong).sum(), c))
@@ -289,14 +333,42 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
+def contradicts(family: str, text: str) -> bool:
+    """_contradicted() of one text, for calibration."""
+    low = text.lower()
+    versions = set(re.findall(_VERSION, low))
+    other = bool(versions) and family in VERSIONS and not versions & set(VERSIONS[family])
+    foreign = family != "proprietary" and (re.search(FOREIGN, low) or re.search(DENIED, low))
+    return bool(other or foreign or (family == "cc-by-4.0" and re.search(NONCOMMERCIAL, low)))
+
+
+def _signs(text: Column) -> Column:
+    """What tells variants apart: versions, marks of other licences, and whether the statement is denied."""
+    low = F.lower(text)
+    return F.struct(
+        F.array_distinct(F.regexp_extract_all(low, F.lit(_VERSION), F.lit(1))).alias("versions"), low.rlike(FOREIGN).alias("foreign"),
+        low.rlike(NONCOMMERCIAL).alias("noncommercial"), low.rlike(DENIED).alias("denied"),
+    )
+
+
+def _contradicted(family: Column) -> Column:
+    """Whether a paragraph says itself that it is of another version or variant than the family, or that the licence does not hold."""
+    found = (F.col("signs.foreign") | F.col("signs.denied")) & (family != "proprietary")
+    found = found | ((family == "cc-by-4.0") & F.col("signs.noncommercial"))
+    for name, own in VERSIONS.items():
+        found = found | ((family == name) & (F.size("signs.versions") > 0) & ~F.arrays_overlap("signs.versions", F.array(*[F.lit(v) for v in own])))
+    return found
+
+
 def scan(docs: DataFrame, *, unknown_below: float | None = None, confirm: float = CONFIRM) -> DataFrame:
     """One row for each paragraph of docs with a word that speaks for a licence, with its family.
 
     Columns: doc_id, paragraph (its number from 0), family, probability (calibrated),
     similarity (largest share of a family template's words that the paragraph holds) and
     confirmed.  A family of less than `unknown_below` probability (by default the
-    calibrated threshold) becomes ``unknown``, which has similarity 0 and is never
-    confirmed.  Null and empty texts have no rows; repeated rows of docs give repeated
+    calibrated threshold), or one whose version or variant the paragraph contradicts
+    itself, becomes ``unknown``, which has similarity 0 and is never confirmed; where a
+    family has versions and the paragraph tells none, similarity is halved.  Null and empty texts have no rows; repeated rows of docs give repeated
     rows; of equal scores the family named first counts; long texts are more paragraphs; no
     documents give no rows.  Other columns of docs are ignored.
     """
@@ -309,7 +381,7 @@ def scan(docs: DataFrame, *, unknown_below: float | None = None, confirm: float
         .select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "each"))
         .where(F.col("each").rlike(speaks))
         # a number for each paragraph, as doc_id may repeat; words are all that is carried on
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "paragraph", F.array_distinct(words).alias("words"), words.alias("w"))
+        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "paragraph", F.array_distinct(words).alias("words"), words.alias("w"), _signs(F.col("each")).alias("signs"))
     )
     both = lambda a, b: F.when(~(a.isin(*PLAIN) & b.isin(*PLAIN)), F.concat_ws(" ", a, b))
     pairs = F.when(F.size("w") > 1, F.array_compact(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), both)))
@@ -319,11 +391,11 @@ def scan(docs: DataFrame, *, unknown_below: float | None = None, confirm: float
     scores = [F.sum(F.col("weight")[k]).alias(f"z{k}") for k in range(len(known))]
     found = candidates.select("row", F.explode("grams").alias("gram")).join(F.broadcast(_weight_table(spark, model.weights)), "gram").groupBy("row").agg(*scores)
     z = F.array(*[F.lit(b) + F.coalesce(F.col(f"z{k}"), F.lit(0.0)) / F.sqrt(F.greatest(F.size("grams"), F.lit(1))) for k, b in enumerate(model.bias[:-1])])
-    scored = candidates.join(found, "row", "left").select("doc_id", "paragraph", "words", z.alias("z")).withColumn("top", F.array_max("z"))
+    scored = candidates.join(found, "row", "left").select("doc_id", "paragraph", "words", "signs", z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.exp(-F.col("top")), lambda t, v: t + F.exp(v - F.col("top")))
     named = F.element_at(F.array(*[F.lit(f) for f in known]), F.array_position("z", F.col("top")).cast("int"))
     judged = scored.withColumn("probability", F.lit(1.0) / total)
-    judged = judged.withColumn("family", F.when(F.col("probability") < least, F.lit(UNKNOWN)).otherwise(named))
+    judged = judged.withColumn("family", F.when((F.col("probability") < least) | _contradicted(named), F.lit(UNKNOWN)).otherwise(named))
     return _confirmed(judged, confirm).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
 
 
@@ -334,4 +406,9 @@ def _confirmed(judged: DataFrame, confirm: float) -> DataFrame:
         words = [sorted(set(_PY_TOKEN.findall(t.lower()))) for t in texts]
         of = [F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws]))) / F.lit(len(ws)) for ws in words]
         share = F.when(F.col("family") == family, F.greatest(*of) if len(of) > 1 else of[0]).otherwise(share)
+    # a template's words say little of a family with versions unless its version is told
+    untold = F.lit(False)
+    for family, own in VERSIONS.items():
+        untold = untold | ((F.col("family") == family) & ~F.arrays_overlap("signs.versions", F.array(*[F.lit(v) for v in own])))
+    share = F.when(untold, share / 2).otherwise(share)
     return judged.withColumn("similarity", share.cast("double")).withColumn("confirmed", F.col("similarity") >= confirm)
