@@ -18,13 +18,20 @@ def flat(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"edu_score": F.col("quality.edu_score"), "pii_flags": F.array_join("quality.pii_flags", ",")}).drop("quality")
 
 
-def write_lake(docs: DataFrame, root: str, *, mode: str = "append") -> None:
-    """Parquet by source and split; refuses sources that cannot be folder names."""
+def require_safe_sources(docs: DataFrame) -> None:
     require_empty(docs.where(~F.coalesce(F.col("source").rlike(SAFE_NAME), F.lit(False))).select("source").distinct(), "unsafe source names")
-    rows = flat(docs) if "quality" in docs.columns else docs
+
+
+def write_rows(rows: DataFrame, root: str, *, mode: str) -> None:
     rows.write.mode(mode).partitionBy("source", "split").option("compression", "zstd").parquet(root)
 
 
+def write_lake(docs: DataFrame, root: str, *, mode: str = "append") -> None:
+    """Parquet by source and split; refuses sources that cannot be folder names."""
+    require_safe_sources(docs)
+    write_rows(flat(docs) if "quality" in docs.columns else docs, root, mode=mode)
+
+
 def write_shards(docs: DataFrame, root: str, shards: int) -> None:
     """Rows in shards by content hash, ordered by doc_id within each."""
     placed = docs.withColumn("shard", H.shard_of("content_sha256", shards))

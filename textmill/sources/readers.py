@@ -222,11 +222,32 @@ def parse_hc3(rows: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+def _sentences(text: Column | str) -> Column:
+    return F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?]) "), F.trim)
+
+
 def quotes(docs: DataFrame, *, least: int = 28, most: int = 240, limit: int = 8) -> DataFrame:
     """doc_id, place and quote: the first distinct (case aside) sentences of fitting length of each text."""
-    sentences = F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?]) ")
-    each = docs.select("doc_id", F.posexplode(F.transform(sentences, F.trim)).alias("at", "quote")).where(F.length("quote").between(least, most))
+    each = docs.select("doc_id", F.posexplode(_sentences("text")).alias("at", "quote")).where(F.length("quote").between(least, most))
     first = each.groupBy("doc_id", F.lower("quote").alias("folded")).agg(F.min(F.struct("at", "quote")).alias("q"))
     # a text has at most a few thousand sentences, and its first `limit` are kept
     chosen = first.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("q")), 1, limit).alias("q"))
     return chosen.select("doc_id", F.posexplode("q").alias("place", "q")).select("doc_id", "place", "q.quote")
+
+
+PARSED = "struct<chunks:array<struct<text:string,blocks:array<struct<page:int>>>>>"
+
+
+def parsed_quotes(parsed: DataFrame, *, least: int = 28, most: int = 240, limit: int = 8) -> DataFrame:
+    """doc_id, place, quote and page: as quotes(), of parsed documents (doc_id, parsed: JSON with chunks of text and blocks).
+
+    Chunks follow each other; a sentence counts where it stands first, whatever the case.
+    page is the first that a block of its chunk tells, else null.  JSON that does not
+    parse, or has no chunks, gives no rows; chunks without text are left out.
+    """
+    page = F.get(F.filter(F.transform("c.blocks", lambda b: b["page"]), lambda p: p.isNotNull()), F.lit(0))
+    chunks = parsed.select("doc_id", F.posexplode(F.from_json("parsed", PARSED)["chunks"]).alias("chunk", "c")).select("doc_id", "chunk", page.alias("page"), "c.text")
+    each = chunks.select("doc_id", "chunk", "page", F.posexplode(_sentences("text")).alias("at", "quote")).where(F.length("quote").between(least, most))
+    first = each.groupBy("doc_id", F.lower("quote").alias("folded")).agg(F.min(F.struct("chunk", "at", "quote", "page")).alias("q"))
+    chosen = first.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("q")), 1, limit).alias("q"))
+    return chosen.select("doc_id", F.posexplode("q").alias("place", "q")).select("doc_id", "place", "q.quote", "q.page")
