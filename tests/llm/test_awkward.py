@@ -90,6 +90,24 @@ def test_rollup_of_changes_that_meet(spark, tmp_path):
     assert r._written("snapshot") == [2, 4] and r._written("log") == [3, 4, 5] and r.committed() == 5
 
 
+def test_a_small_batch_reads_the_slots_of_its_documents(spark, tmp_path):
+    r = rollups.Rollup(spark, str(tmp_path / "r"), compact=2)
+    add = lambda rows: spark.createDataFrame(rows, rollups.CHANGES)
+    for k in range(3):
+        assert r.commit(k + 1, add([("insert", i, "s", "en", "v", i + k) for i in range(100 * k, 100 * k + 300)]))
+    spark.createDataFrame([(150, "v")], "doc_id long, tokenizer string").write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    slot = keys.select(rollups._slot()).first().slot
+    held = r.held(3, keys, [slot])
+    assert [tuple(x) for x in held.select("doc_id", "docs", "tokens").collect()] == [(150, 1, 151)]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    pruned = [line for line in plan.splitlines() if "Scan parquet" in line]
+    assert len(pruned) == 2 and all("PartitionFilters: [isnotnull(slot" in line and f" = {slot})" in line for line in pruned)
+    # rows of other keys go before anything is grouped, and what is held is not moved for that
+    assert plan.index("BroadcastHashJoin") > plan.index("HashAggregate") and plan.count("Exchange hashpartitioning") == 1
+    assert r.commit(4, add([("delete", 150, None, None, "v", None)])) and r.totals().first().n_docs == 499
+
+
 def test_stages(spark, tmp_path):
     _labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     _items(spark).write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -11,10 +11,11 @@ start; vacuum() deletes the log that a snapshot has replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.packing import tokenizer
@@ -22,9 +23,20 @@ from textmill.llm.runtime import map_batches, staged
 
 KEYS = ("source", "lang", "tokenizer")
 CHANGES = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
-_LOG = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+_LOG = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, slot int"
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 COMPACT = 8
+#: Folders that logs and snapshots are cut into, by hash of doc_id: a batch reads those of its documents.
+SLOTS = 64
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """rows in a folder for each slot, in few files: all of a slot come from one task unless Spark splits it."""
+    rows.repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(path)
 
 
 class Rollup:
@@ -44,17 +56,26 @@ class Rollup:
         """The number of the last committed batch, 0 before the first."""
         return max(self._written("commit"), default=0)
 
-    def held(self, upto: int) -> DataFrame:
-        """What documents count after batch `upto`: the last snapshot and the log since then."""
+    def held(self, upto: int, keys: DataFrame | None = None, slots: list[int] | None = None) -> DataFrame:
+        """What documents count after batch `upto`: the last snapshot and the log since then.
+
+        With keys (doc_id, tokenizer) and their slots only these folders are read, and rows
+        of other keys are left out before anything is grouped: a small batch is sent to
+        what is held, not the other way round.
+        """
         base = max((k for k in self._written("snapshot") if k <= upto), default=0)
         paths = [f"{self.path}/snapshot/{base}"] if base else []
         paths += [f"{self.path}/log/{k}" for k in range(base + 1, upto + 1)]
         if not paths:
             return self.spark.createDataFrame([], _LOG)
-        rows = self.spark.read.schema(_LOG).parquet(*paths)
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(_LOG).parquet(p) for p in paths])
+        if slots is not None:
+            rows = rows.where(F.col("slot").isin(slots) if slots else F.lit(False))
+        if keys is not None:
+            rows = rows.join(keys.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
         if len(paths) == 1:
             return rows.where("docs > 0")
-        return rows.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0")
+        return rows.groupBy("slot", "doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0")
 
     def totals(self, at: int | None = None) -> DataFrame:
         """Totals after batch `at`, by default the last; groups without documents are left out."""
@@ -73,7 +94,7 @@ class Rollup:
         revisions of a key the largest (source, language, count) counts, so repeated rows
         count once.  A null count is 0; null source or language is a group of its own; a
         null op, doc_id or tokenizer is left out.  An empty batch is committed and changes
-        nothing.  A small batch is joined with what is held without moving the latter.
+        nothing.  A batch reads the folders of its documents, and moves the rows held of them.
         """
         done = self.committed()
         if batch <= done:
@@ -86,20 +107,26 @@ class Rollup:
             F.max(F.when(F.col("op") == "revise", n)).alias("revised"),
             F.max(F.col("op") == "delete").alias("gone"),
         )
-        before = self.held(done).select("doc_id", "tokenizer", F.struct("source", "lang", "tokens").alias("old"))
+        # changes are worked out once and written: their slots tell what is read
+        at = f"{self.path}/net/{batch}"
+        net.withColumn("slot", _slot()).write.mode("overwrite").parquet(at)
+        net = self.spark.read.schema(net.withColumn("slot", _slot()).schema).parquet(at)
+        slots = [r[0] for r in net.select("slot").distinct().collect()]
+        net = net.drop("slot")
+        before = self.held(done, net, slots).select("doc_id", "tokenizer", F.struct("source", "lang", "tokens").alias("old"))
         both = net.join(before, ["doc_id", "tokenizer"], "left")
         after = F.coalesce("new", "old")
         told = F.when(after.isNotNull() & ~F.col("gone"), F.struct(after["source"].alias("source"), after["lang"].alias("lang"), F.coalesce("revised", after["tokens"]).alias("tokens"), F.lit(1).alias("sign")))
         taken = F.when(F.col("old").isNotNull(), F.struct("old.source", "old.lang", "old.tokens", F.lit(-1).alias("sign")))
         signed = both.select("doc_id", "tokenizer", F.explode(F.array_compact(F.array(taken, told))).alias("x")).select(
-            "doc_id", "x.source", "x.lang", "tokenizer", F.col("x.sign").cast("long").alias("docs"), (F.col("x.sign") * F.col("x.tokens")).cast("long").alias("tokens")
+            "doc_id", "x.source", "x.lang", "tokenizer", F.col("x.sign").cast("long").alias("docs"), (F.col("x.sign") * F.col("x.tokens")).cast("long").alias("tokens"), _slot()
         )
-        signed.write.mode("overwrite").parquet(f"{self.path}/log/{batch}")
+        _write(signed, f"{self.path}/log/{batch}")
         delta = self.spark.read.schema(_LOG).parquet(f"{self.path}/log/{batch}").groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         total = self.totals(done).unionByName(delta).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
         total.write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
         if batch % self.compact == 0:
-            self.held(batch).write.mode("overwrite").parquet(f"{self.path}/snapshot/{batch}")
+            _write(self.held(batch), f"{self.path}/snapshot/{batch}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/commit/{batch}")
         return True
 
@@ -107,7 +134,7 @@ class Rollup:
         """Delete the log, snapshots and totals that the last snapshot of a committed batch has replaced."""
         last = max((k for k in self._written("snapshot") if k <= self.committed()), default=0)
         jvm = self.spark._jvm
-        for what, below in (("log", last + 1), ("snapshot", last), ("totals", last)):
+        for what, below in (("log", last + 1), ("net", last + 1), ("snapshot", last), ("totals", last)):
             for k in self._written(what):
                 if k < below:
                     at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}/{k}")
