@@ -138,16 +138,22 @@ def has_words(signature: str = "signature"):
 
 @F.pandas_udf(BooleanType())
 def texts_resemble(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """Whether the signatures of two texts agree in a share of at least `least`; false where a text is empty."""
+    """Whether the signatures of two texts agree in a share of at least `least`; false where a text is empty.  A text that stands in a batch several times is signed once."""
     p = LshParams()
     x, y = coefficients(p.permutations)
+    signed: dict[str, np.ndarray] = {}
+
+    def signature(t: str) -> np.ndarray:
+        if t not in signed:
+            signed[t] = minhash(shingle_hashes(t, p.shingle_words), x, y)
+        return signed[t]
+
     out = []
     for left, right, share in zip(a, b, least, strict=True):
-        if left == right:
-            out.append(left != "")
+        if left == right or not left or not right:
+            out.append(left == right and left != "")
         else:
-            one, two = (minhash(shingle_hashes(t, p.shingle_words), x, y) for t in (left, right))
-            out.append(left != "" and right != "" and bool((one == two).mean() >= share))
+            out.append(bool((signature(left) == signature(right)).mean() >= share))
     return pd.Series(out, dtype=bool)
 
 

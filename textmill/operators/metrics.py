@@ -147,14 +147,24 @@ def diagnose(score_psi: float | None, input_psi: float | None) -> str:
 
 
 def condition_cost(scores: DataFrame, threshold: float, groups: tuple[str, ...]) -> DataFrame:
-    """Rate at or above the threshold, median, nearest-rank 95th and 99th percentile, and largest score."""
-    return scores.groupBy(*groups).agg(
-        F.avg((F.col("s") >= threshold).cast("double")).alias("fpr"),
-        F.median("s").alias("median"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY s)").alias("p95"),
-        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY s)").alias("p99"),
-        F.max("s").alias("largest"),
-    )
+    """Rate at or above the threshold, median, nearest-rank 95th and 99th percentile, and largest score of each group; null scores are left out.
+
+    Percentiles are ranks among counts of distinct scores, taken by ranges: no group is buffered or ordered in one task.
+    """
+    by = scores.where("s is not null").groupBy(*groups, "s").agg(F.count(F.lit(1)).alias("n"))
+    total = by.groupBy(*[F.col(g).alias(f"__of_{g}") for g in groups]).agg(F.sum("n").alias("all"))
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    ranked = ranked_in_ranges(by, "s", "n", groups).join(total, on)
+    at = lambda rank: F.max(F.when((F.col("before") < rank) & (rank <= F.col("before") + F.col("n")), F.col("s")))
+    n = F.col("all")
+    share = lambda q: F.ceil(F.lit(q) * n)
+    return ranked.groupBy(*groups).agg(
+        (F.sum(F.when(F.col("s") >= threshold, F.col("n")).otherwise(0)) / F.sum("n")).alias("fpr"),
+        ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"),
+        at(share(0.95)).alias("p95"), at(share(0.99)).alias("p99"), F.max("s").alias("largest"),
+    )
 
 
 def budget_threshold(scores: DataFrame, budget: float) -> DataFrame:

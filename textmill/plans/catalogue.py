@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import attacks, attributes, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
-from textmill.operators import audits, cleaning, decisions, dedup, density, lake, metrics, mining, mixtures, sampling
+from textmill.operators import audits, cleaning, decisions, dedup, density, lake, metrics, mining, mixtures, robustness, sampling
 from textmill.operators.tables import checkpointed, spread
 from textmill.sources import pools, readers
 
@@ -201,6 +201,12 @@ def attack_report(spark, sf):
     return attacks.attack_report(made, 0.5)
 
 
+def attack_conditions(spark, sf):
+    """All documents under all attacks and conditions, against themselves unchanged."""
+    docs = spread(_docs(spark, sf)).select("doc_id", "text")
+    return robustness.attack_table(docs, lambda t: F.length(t) % 101 / 101.0, 0.5, conditions=tuple(robustness.CONDITIONS))
+
+
 def source_manifest(spark, sf):
     return lake.manifest(_split(_docs(spark, sf)))
 
@@ -277,7 +283,7 @@ QUERIES = {f.__name__: f for f in (
     regime_rates, fpr_threshold, condition_cost, discordant_pairs, value_drift, group_scores, hash_subsample, labelled_subsample, capped_documents,
     matched_cap, length_bins, interleaved, cluster_selection, exact_contamination, contamination, leaking_groups, unseen_domain, token_windows,
     role_segments, page_text, quotes, attack_report, source_manifest, cluster_atlas, whole_cleaning_funnel, whole_exact_contamination,
-    decided, training_rows, document_attributes, decodings, splice_controls, density_clusters, kmeans_clusters, cluster_silhouette, atlas_warnings,
+    decided, training_rows, document_attributes, decodings, splice_controls, density_clusters, kmeans_clusters, attack_conditions, cluster_silhouette, atlas_warnings,
 )}
 
 _TEXT = "coalesce(text, '')"
