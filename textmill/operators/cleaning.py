@@ -85,11 +85,28 @@ def judge(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), *, norm
     )
 
 
+def record_id() -> Column:
+    """The doc_id of a raw record."""
+    return F.concat_ws("_", F.col("source_id").cast("string"), F.col("source_record_id").cast("string"))
+
+
+def funnel_counts(judged: DataFrame) -> DataFrame:
+    """reason, split and n: documents by the reason of their rejection (split null), and kept ones by split, one of each content.
+
+    Records are judged in one scan, of which only ids, reasons and hashes are written; the
+    smallest id of each content is an aggregate, and its split is a function of it.
+    """
+    rows = checkpointed(judged.select("reject_reason", record_id().alias("doc_id"), F.when(F.col("reject_reason").isNull(), H.sha256("text")).alias("content_sha256")), "funnel")
+    first = rows.where("reject_reason is null").groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id"))
+    kept = first.groupBy(F.lit("kept").alias("reason"), H.split_of(H.group_id("doc_id")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    gone = rows.where("reject_reason is not null").groupBy(F.col("reject_reason").alias("reason"), F.lit(None).cast("string").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    return kept.unionByName(gone)
+
+
 def documents_of(judged: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> DataFrame:
     """Kept records as corpus rows; ids, hash, token count and split are functions of the record."""
     kept = judged.where("reject_reason is null").drop("reject_reason")
-    doc_id = F.concat_ws("_", F.col("source_id").cast("string"), F.col("source_record_id").cast("string"))
-    kept = kept.withColumn("doc_id", doc_id).withColumn("source_group_id", H.group_id("doc_id"))
+    kept = kept.withColumn("doc_id", record_id()).withColumn("source_group_id", H.group_id("doc_id"))
     return kept.select(
         "doc_id",
         "source_group_id",

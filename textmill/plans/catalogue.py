@@ -9,7 +9,7 @@ from textmill.functions import attacks, attributes, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import audits, cleaning, decisions, dedup, density, lake, metrics, mining, mixtures, robustness, sampling
-from textmill.operators.tables import checkpointed, spread
+from textmill.operators.tables import spread
 from textmill.sources import pools, readers
 
 FLAGSHIP = "whole_cleaning_funnel"
@@ -35,19 +35,12 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def cleaning_funnel(spark, sf):
     """The stages that SQL can follow: without normalisation and redaction; see whole_cleaning_funnel."""
-    return _funnel(cleaning.judge(_records(spark, sf), normalise=False, redact=False))
+    return cleaning.funnel_counts(cleaning.judge(_records(spark, sf), normalise=False, redact=False))
 
 
 def whole_cleaning_funnel(spark, sf):
-    """The funnel with all its stages; judged rows are written first, so that none is judged again for each use."""
-    return _funnel(checkpointed(cleaning.judge(_records(spark, sf)), "funnel-judged"))
-
-
-def _funnel(judged: DataFrame) -> DataFrame:
-    kept = cleaning.documents_of(judged)
-    first = dedup.first_of_content(kept).groupBy(F.lit("kept").alias("reason"), "split").agg(F.count(F.lit(1)).alias("n"))
-    gone = judged.where("reject_reason is not null").groupBy(F.col("reject_reason").alias("reason"), F.lit(None).cast("string").alias("split")).agg(F.count(F.lit(1)).alias("n"))
-    return first.unionByName(gone)
+    """The funnel with all its stages."""
+    return cleaning.funnel_counts(cleaning.judge(_records(spark, sf)))
 
 
 def cleaned_documents(spark, sf):
