@@ -83,3 +83,24 @@ def test_resemblance_of_equal_and_empty_texts(spark):
     rows = [(long, long, True), (long, long + " more", True), (long, "other words here entirely", False), ("", "", False), ("", long, False), (long, "", False)]
     df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "a string, b string, want boolean, k int").coalesce(1)
     assert all(r.got == r.want for r in df.select("want", texts_resemble("a", "b", F.lit(0.5)).alias("got")).collect())
+
+
+def test_bootstrap_of_paired_arms(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, i % 2, (i % 2) * 0.8 + rng.random(), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    got = sorted((r.replicate, r.difference) for r in metrics.bootstrap_auroc_difference(df.repartition(3), 40).collect())
+    again = sorted((r.replicate, r.difference) for r in metrics.bootstrap_auroc_difference(df.repartition(5), 40).collect())
+    assert [k for k, _ in got] == list(range(40)) and got == pytest.approx(again)
+
+    def area(s):
+        pos, neg = [r[s] for r in rows if r[1]], [r[s] for r in rows if not r[1]]
+        return sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+
+    differences = [d for _, d in got]
+    mean = sum(differences) / 40
+    assert mean == pytest.approx(area(2) - area(3), abs=0.02) and 0.005 < max(differences) - min(differences) < 0.3
+    one = metrics.bootstrap_auroc_difference(df.where("y = 1"), 2).collect()
+    assert all(r.difference is None for r in one)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.operators.sampling import ranked_in_ranges
@@ -192,25 +192,32 @@ def mcnemar(only_a: int, only_b: int) -> dict[str, float]:
     return {"chi2": chi2, "p": math.erfc(math.sqrt(chi2 / 2)), "exact_p": min(1.0, 2 * tail)}
 
 
+#: Poisson weights above this have a chance of less than 2 ** -53, the step of the draw.
+MOST_WEIGHT = 18
+
+
 def bootstrap_auroc_difference(paired: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """replicate and difference of AUROC of arms a and b over Poisson resamples of rows (y, a, b).
+    """replicate and difference of AUROC of arms a and b over Poisson resamples of rows (id, y, a, b).
 
-    Row weights are drawn from the row's id and the replicate, so every replicate is an
-    aggregate over the rows and nothing is gathered.
+    Row weights are drawn from the row's id and the replicate alone, so a replicate is the
+    same however rows lie.  Draws are counted by replicate and score before anything is
+    shuffled, and ranks are taken by ranges.  A replicate that drew one class alone has a
+    null difference.
     """
-    u = F.abs(F.xxhash64("id", "replicate", F.lit(seed)) % 1_000_003) / F.lit(1_000_003.0)
+    u = F.shiftrightunsigned(F.xxhash64("id", "replicate", F.lit(seed)), 11) / F.lit(2.0**53)
     weight, below, mass = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 9):
+    for k in range(1, MOST_WEIGHT + 1):
         below += mass
         mass /= k
         weight = F.when(u >= below, k).otherwise(weight)
-    drawn = paired.crossJoin(F.broadcast(paired.sparkSession.range(replicates).withColumnRenamed("id", "replicate"))).withColumn("w", weight).where("w > 0")
+    drawn = paired.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).withColumn("w", weight).where("w > 0")
 
     def area(arm: str) -> DataFrame:
         by = drawn.groupBy("replicate", F.col(arm).alias("s")).agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("p"))
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("replicate").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = by.withColumn("before", before).groupBy("replicate").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"))
-        return ranked.select("replicate", ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias(f"auroc_{arm}"))
+        ranks = F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2))
+        ranked = ranked_in_ranges(by, "s", "n", ("replicate",)).groupBy("replicate").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), ranks.alias("r"))
+        both = F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))
+        return ranked.select("replicate", ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / both).alias(f"auroc_{arm}"))
 
     return area("a").join(area("b"), "replicate").select("replicate", (F.col("auroc_a") - F.col("auroc_b")).alias("difference"))
 

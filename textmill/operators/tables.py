@@ -20,15 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application's written tables go to."""
+    return f"{shared_folder(spark)}/textmill-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to cut lineage; frames that read them can't be used any more, so results are written first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read back: lost executors cost no work before it."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read back: lost executors cost no work before it.  sweep() deletes what is left of it."""
+    path = f"{scratch_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out over all cores if it has fewer files than these: such a table may be one row group, which a single task would read."""
+    """df, dealt out over all cores if it has fewer files than these: such a table may be one row group, which a single task would read however it is split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
