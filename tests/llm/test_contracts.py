@@ -205,7 +205,7 @@ def test_query_matches_sql(spark, tiny, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations"):
         db.sql(f"create view {t} as select * from '{tiny}/{t}.parquet'")
     want = db.sql(Q.ORACLE_SQL[name])
     got = Q.QUERIES[name](spark, tiny)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.operators.tables import shared_folder
+from textmill.operators.tables import scratch_folder, shared_folder
 
 #: Bytes of an Arrow batch between the JVM and its Python workers, so that long texts do not fill either.
 BATCH_BYTES = "4m"
@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
