@@ -101,7 +101,7 @@ def mirror_requests(humans: DataFrame, template: str, families: list[str], grid:
     d = A.decoding(key, list(grid.temperatures), list(grid.top_ps), grid.most_tokens, "target_tokens", greedy=grid.greedy)
     made = asked.select(
         key.alias("key"), assigned_family(key, families).alias("family"), "prompt", d.alias("d"), "source_text", F.col("target_tokens").cast("int").alias("target_tokens"),
-        F.concat(F.lit("forge_"), key).alias("sample_id"), key.alias("source_human_id"), "source_group_id", "split", "domain", "genre", "register", "structure", "difficulty",
+        F.concat(F.lit("mirror_"), key).alias("sample_id"), key.alias("source_human_id"), "source_group_id", "split", "domain", "genre", "register", "structure", "difficulty",
     )
     return made, told.where("copies").select("doc_id")
 
