@@ -223,7 +223,8 @@ def parse_hc3(rows: DataFrame) -> DataFrame:
 
 
 def _sentences(text: Column | str) -> Column:
-    return F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?]) "), F.trim)
+    # a bare F.trim would take the place as its second argument and strip its digits
+    return F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?]) "), lambda s: F.trim(s))
 
 
 def quotes(docs: DataFrame, *, least: int = 28, most: int = 240, limit: int = 8) -> DataFrame:
