@@ -6,6 +6,7 @@ null, except in ratios, which have a defined value for empty texts.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,6 +20,17 @@ from pyspark.sql.types import StringType
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = rf"[^{SPACE}]+"
+# The same white space one by one; what stands between words; a place that is no printable ASCII, which rules most places out by one comparison.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NO_WORD = r"[^\p{L}\p{N}_]+"
+UNPRINTED = "(?![!-~])"
+# Texts of these alone, most texts, need no compatibility normalisation and hold no white space but blanks and newlines; ASCII stands in a class of its own.
+PLAIN = (
+    r"\A[\n\x{20}-\x{7e}[\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}"
+    r"\x{400}-\x{45f}\x{200b}-\x{200d}\x{2013}\x{2014}\x{2018}-\x{201d}\x{2060}\x{3041}-\x{3094}\x{30a1}-\x{30fa}\x{4e00}-\x{9fcb}\x{feff}]]*+\z"
+)
+# The same without Cyrillic, so without any letter that folding changes.
+INERT = PLAIN.replace(r"\x{400}-\x{45f}", "")
 
 # The English function words of the language heuristic, and its full share.
 ENGLISH = (
@@ -77,12 +89,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def token_count(text: Column | str) -> Column:
-    """Number of tokens between white space."""
-    return F.regexp_count(_col(text), F.lit(TOKEN)).cast("long")
+    """Number of tokens between white space; texts are split at it, as counting what is not of it takes eight times as long."""
+    return F.array_size(F.array_remove(F.split(_col(text), f"{UNPRINTED}[{SPACE}]+"), "")).cast("long")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column | str) -> Column:
@@ -92,7 +108,7 @@ def words(text: Column | str) -> Column:
 def symbol_ratio(text: Column | str) -> Column:
     """Share of characters that are neither of a word nor white space; an empty text has 1."""
     t = _col(text)
-    symbols = F.length(F.regexp_replace(t, rf"[\p{{L}}\p{{N}}_{SPACE}]", ""))
+    symbols = F.length(F.regexp_replace(t, rf"[\p{{L}}\p{{N}}_{SPACE}]+", ""))
     return F.when(F.length(t) == 0, 1.0).otherwise(symbols / F.length(t))
 
 
@@ -106,9 +122,8 @@ def repeated_line_ratio(text: Column | str) -> Column:
 
 
 def mean_word_length(text: Column | str) -> Column:
-    t = _col(text)
-    n = F.regexp_count(t, F.lit(WORD))
-    return F.when(n == 0, 0.0).otherwise(F.length(F.regexp_replace(t, r"[^\p{L}\p{N}_]", "")) / n)
+    found = F.array_remove(F.split(_col(text), NO_WORD), "")
+    return bound(found, lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.length(F.array_join(w, "")) / F.size(w)))
 
 
 def unique_word_ratio(text: Column | str) -> Column:
@@ -174,37 +189,62 @@ nfkc_once = F.pandas_udf(_nfkc, StringType()).asNondeterministic()
 
 
 def strip_markup(text: Column | str) -> Column:
-    """Scripts and styles, Markdown links, tags and entities, in this order and once."""
-    t = F.regexp_replace(_col(text), SCRIPT_OR_STYLE, " ")
-    t = F.regexp_replace(t, MARKDOWN_LINK, "$1")
-    t = F.regexp_replace(t, TAG, " ")
-    for entity, value in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(value))
-    return F.regexp_replace(t, OTHER_ENTITY, " ")
+    """Scripts and styles, Markdown links, tags and entities, in this order and once; patterns are tried where their first characters occur."""
+
+    def entities(t: Column) -> Column:
+        for entity, value in ENTITIES.items():
+            t = F.replace(t, F.lit(entity), F.lit(value))
+        return F.regexp_replace(t, OTHER_ENTITY, " ")
+
+    t = _where(_col(text), _holds("<"), lambda t: F.regexp_replace(t, SCRIPT_OR_STYLE, " "))
+    t = _where(t, _holds("]("), lambda t: F.regexp_replace(t, MARKDOWN_LINK, "$1"))
+    t = _where(t, _holds("<"), lambda t: F.regexp_replace(t, TAG, " "))
+    return _where(t, _holds("&"), entities)
+
+
+def _holds(*parts: str) -> Callable[[Column], Column]:
+    return lambda t: functools.reduce(Column.__or__, [F.contains(t, F.lit(p)) for p in parts])
+
+
+def _where(text: Column, condition: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """The text, changed where the condition holds."""
+    return bound(text, lambda t: F.when(condition(t), change(t)).otherwise(t))
 
 
 def strip_invisible(text: Column | str) -> Column:
-    return F.translate(_col(text), INVISIBLE, "")
+    return _where(_col(text), lambda t: ~is_ascii(t) & _holds(*INVISIBLE)(t), lambda t: F.regexp_replace(t, rf"{UNPRINTED}[{INVISIBLE}]+", ""))
 
 
 def fold_confusable_letters(text: Column | str) -> Column:
-    return F.translate(_col(text), CONFUSABLE, LATIN)
+    return _where(_col(text), lambda t: ~is_ascii(t), lambda t: F.translate(t, CONFUSABLE, LATIN))
 
 
 def collapse_whitespace(text: Column | str) -> Column:
     """Runs of blanks become one space, three or more newlines two; lines and the whole are stripped."""
-    t = F.regexp_replace(_col(text), r"[ \t\x{a0}\x{2000}-\x{200a}]+", " ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    blank = r"[ \t\x{a0}\x{2000}-\x{200a}]"
+    # only what changes is matched: a single space and a newline without blanks beside it stay
+    t = F.regexp_replace(_col(text), rf"{UNPRINTED}(?:{blank}{{2,}}+|[\t\x{{a0}}\x{{2000}}-\x{{200a}}])", " ")
+    t = _where(t, lambda t: F.contains(t, F.lit("\n\n\n")), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
     edge = SPACE.replace(r"\t-\r", r"\t\x{b}-\r")
-    return strip(F.regexp_replace(t, rf"[{edge}]*\n[{edge}]*", "\n"))
+    return strip(_where(t, lambda t: F.contains(t, F.lit("\n")), lambda t: F.regexp_replace(t, rf"{UNPRINTED}(?:[{edge}]++\n[{edge}]*|\n[{edge}]+)", "\n")))
+
+
+def _collapse_plain(text: Column) -> Column:
+    """collapse_whitespace of a text without white space but blanks and newlines."""
+    t = _where(text, _holds("  "), lambda t: F.regexp_replace(t, " {2,}", " "))
+    t = _where(t, _holds("\n\n\n"), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.btrim(_where(t, _holds(" \n", "\n "), lambda t: F.replace(F.replace(t, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))), F.lit(" \n"))
 
 
 def normalize(text: Column | str, *, fold_confusables: bool = False, once: bool = False) -> Column:
     """The normalised text; once: a column of this is worked out once a row, however many others read it."""
-    t = (nfkc_once if once else nfkc)(_col(text))
-    if fold_confusables:
-        t = fold_confusable_letters(t)
-    return collapse_whitespace(strip_markup(strip_invisible(t)))
+    t = _col(text)
+    fold = fold_confusable_letters if fold_confusables else lambda t: t
+    # plain texts do not go to Python, and keep to what can change them
+    composed = (nfkc_once if once else nfkc)(F.when(~(t.rlike(PLAIN) & ~F.contains(t, F.lit("&"))), t))
+    whole = lambda t: collapse_whitespace(strip_markup(strip_invisible(fold(t))))
+    plain = lambda t: _collapse_plain(strip_markup(strip_invisible(fold(t))))
+    return bound(F.struct(composed.alias("composed"), t.alias("text")), lambda x: F.when(x["composed"].isNull(), plain(x["text"])).otherwise(whole(x["composed"])))
 
 
 def luhn(digits: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import dedup
-from textmill.operators.tables import checkpointed
+from textmill.operators.tables import bound_batches, checkpointed
 
 PROCESSING_VERSION = "clean_v1"
 
@@ -52,6 +52,7 @@ def judge(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), *, norm
     Stages: schema, normalisation, length, language, quality, personal data, length again.
     The first that fails gives the reason.  Null and empty texts and ids fail the schema.
     """
+    bound_batches(records.sparkSession)
     records = with_optional(records)
     missing = F.col("text").isNull() | (F.col("text") == "") | F.col("source_record_id").isNull() | (F.col("source_record_id").cast("string") == "")
     text = F.coalesce(F.col("text"), F.lit(""))

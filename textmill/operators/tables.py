@@ -38,6 +38,11 @@ def checkpointed(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as by rows: 10,000 whole texts at once may fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out over all cores if it has fewer files than these: such a table may be one row group, which a single task would read however it is split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
