@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import dedup
+from textmill.operators.tables import bound_batches
 
 # Words, ends of sentences, list items and the like.
 WORD = r"(?U)\b[a-zA-Z][a-zA-Z'-]+\b"
@@ -111,6 +112,7 @@ def attributes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Null texts count as empty ones: of no subject, prose, moderate, 0 tokens.  Anchors are
     single words, so they cannot repeat a passage of the text.
     """
+    bound_batches(docs.sparkSession)
     t = F.coalesce("text", F.lit(""))
     topical = F.filter(words(t), lambda w: (F.length(w) > 3) & ~w.isin(*NO_TOPICS))
     told = docs.select(key, t.alias("__text"), structure(t).alias("structure"), difficulty(t).alias("difficulty"), _commonest(topical).alias("__anchors"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import dedup
-from textmill.operators.tables import checkpointed, require_empty
+from textmill.operators.tables import bound_batches, checkpointed, require_empty
 
 CONTAMINATION_THRESHOLD = 0.5
 # Prompt families that each arm may train on.
@@ -21,6 +21,7 @@ def canonical_hash(text: Column | str) -> Column:
 
 def exact_overlap(train: DataFrame, evaluation: DataFrame, *, normalise: bool = True) -> DataFrame:
     """doc_id of evaluation texts that training holds too, with the smallest such train_id."""
+    bound_batches(train.sparkSession)
     key = canonical_hash("text") if normalise else H.sha256("text")
     known = train.groupBy(key.alias("h")).agg(F.min("doc_id").alias("train_id"))
     return evaluation.withColumn("h", key).join(known, "h").select("doc_id", "train_id")
