@@ -1,5 +1,13 @@
 """What showed on larger tables only: lost digits, slow forms of expressions, disk that grows."""
 
+import re
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from textmill.functions import attacks
+from textmill.functions import text as T
+from textmill.plans import catalogue
 from textmill.sources import readers
 
 
@@ -9,3 +17,40 @@ def test_quotes_keep_digits_at_their_ends(spark):
     docs = spark.createDataFrame([(1, "  ".join([first, *others])), (2, "  " + others[3] + " ")], "doc_id long, text string")
     got = {(r.doc_id, r.place): r.quote for r in readers.quotes(docs).collect()}
     assert got == {**{(1, k): q for k, q in enumerate([first, *others])}, (2, 0): others[3]}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "One. Two. Three.")], "doc_id long, text string")
+    assert _plan(attacks.attack_matrix(docs, {"sentence_reorder": (0.3,)})).count("split(") == 1
+
+
+def test_plain_texts_stay_out_of_python_and_are_normalised_alike(spark):
+    texts = ["a  b \n c\n\n\n\nd ", " x<b>y</b> [t](u) ", "é​ß ", "аб в", "ﬁne\xa0print", "a&nbsp;&amp;lt; b", "a\r\n b\x0b c", "", None, " \n ", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [r[0] for r in df.select(T.normalize("t")).collect()]
+    assert got == ["a b\nc\n\nd", "x y t", "éß", "аб в", "fine print", "a < b", "a\nb\x0b c", "", None, "", "é"]
+    sent = df.select("t", F.col("t").rlike(T.PLAIN).alias("plain")).collect()
+    assert all(r.t is None or not r.plain or unicodedata.normalize("NFKC", r.t) == r.t for r in sent) and sum(bool(r.plain) for r in sent) >= 5
+    assert "rlike" in _plan(df.select(T.normalize("t"))).lower()
+
+
+def test_tokens_are_counted_between_white_space(spark):
+    texts = ["", " ", "a", " a\tb　c\x1cd\n", "a ", "\xa0x y"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").coalesce(1).select(T.token_count("t").alias("n"))
+    assert [r.n for r in df.collect()] == [*[len(re.findall(rf"[^{T.SPACES}]+", t)) for t in texts], None]
+    assert "regexp_extract_all" not in _plan(df)
+
+
+def test_batches_of_pages_and_texts_are_bounded(spark, tiny):
+    for query in (catalogue.page_text, catalogue.whole_exact_contamination, catalogue.document_attributes):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        query(spark, tiny)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
+def test_matched_cap_moves_no_texts(spark, tiny):
+    assert "text" not in _plan(catalogue.matched_cap(spark, tiny))

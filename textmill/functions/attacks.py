@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 
 from textmill.functions import text as T
 from textmill.operators import dedup
+from textmill.operators.tables import bound_batches
 
 # Letters and their lookalikes.
 HOMOGLYPHS = {
@@ -136,30 +137,36 @@ def _sentences() -> Column:
     New paragraphs follow the sentences drawn.  Sentences that are drawn move behind their
     next neighbour; one moves at least.
     """
-    parts = F.split("text", SENTENCE_END)
-    n = F.size(parts)
-    parted = F.array_join(F.transform(parts, lambda s, k: F.when(_share(k) < F.col("severity"), F.concat(s, F.lit("\n\n"))).otherwise(s)), " ")
-    always = F.pmod(F.xxhash64("seed", F.lit("first")), F.greatest(n - 1, F.lit(1)))
-    turn = lambda k: k + F.when((k == always) | (_share(k) < F.col("severity")), 1.5).otherwise(0.0)
-    ordered = F.array_sort(F.transform(parts, lambda s, k: F.struct(turn(k).alias("turn"), k.alias("k"), s.alias("s"))))
-    moved = F.array_join(F.transform(ordered, lambda x: x["s"]), " ")
-    return F.when(n < 2, F.col("text")).when(F.col("attack") == "paragraph_insert", parted).otherwise(moved)
 
+    # bound, as a place would otherwise split the text again for every sentence of it
+    def told(parts: Column) -> Column:
+        n = F.size(parts)
+        parted = F.array_join(F.transform(parts, lambda s, k: F.when(_share(k) < F.col("severity"), F.concat(s, F.lit("\n\n"))).otherwise(s)), " ")
+        always = F.pmod(F.xxhash64("seed", F.lit("first")), F.greatest(n - 1, F.lit(1)))
+        turn = lambda k: k + F.when((k == always) | (_share(k) < F.col("severity")), 1.5).otherwise(0.0)
+        ordered = F.array_sort(F.transform(parts, lambda s, k: F.struct(turn(k).alias("turn"), k.alias("k"), s.alias("s"))))
+        moved = F.array_join(F.transform(ordered, lambda x: x["s"]), " ")
+        return F.when(n < 2, F.col("text")).when(F.col("attack") == "paragraph_insert", parted).otherwise(moved)
 
-def attack_matrix(docs: DataFrame, attacks: dict[str, tuple[float, ...]] = SEVERITIES) -> DataFrame:
+    return T.bound(F.split("text", SENTENCE_END), told)
+
+
+def attack_matrix(docs: DataFrame, attacks: dict[str, tuple[float, ...]] = SEVERITIES, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, attack, severity and attacked: every document under every attack and severity; null texts stay null.
 
-    Severity is the chance of every place that an attack can change.
+    Severity is the chance of every place that an attack can change.  keep names columns
+    of docs that are carried on, so that what is worked out of a text is worked out once.
     """
     unknown = set(attacks) - {*CHARACTERS, *WORDS, *SENTENCES}
     if unknown:
         raise ValueError(f"unknown attacks {sorted(unknown)}")
     # whole texts: batches bounded by bytes
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    bound_batches(docs.sparkSession)
+    columns = ("doc_id", "text", *keep)
 
     def planned(names: list[str]) -> DataFrame:
         plan = F.array(*[F.struct(F.lit(a).alias("attack"), F.lit(float(s)).alias("severity")) for a in names for s in attacks[a]])
-        rows = docs.select("doc_id", "text", F.explode(plan).alias("p")).select("doc_id", "text", "p.attack", "p.severity")
+        rows = docs.select(*columns, F.explode(plan).alias("p")).select(*columns, "p.attack", "p.severity")
         return rows.withColumn("seed", F.xxhash64("doc_id", "attack", "severity"))
 
     each = {True: [a for a in attacks if a in SENTENCES], False: [a for a in attacks if a not in SENTENCES]}
@@ -177,12 +184,32 @@ def survives_preprocessing(original: Column | str, changed: Column | str) -> Col
 
 
 def fold_homoglyphs(text: Column | str) -> Column:
-    return F.translate(T._col(text), "".join(HOMOGLYPHS.values()), "".join(HOMOGLYPHS))
+    fold = lambda t: F.when(T.is_ascii(t), t).otherwise(F.translate(t, "".join(HOMOGLYPHS.values()), "".join(HOMOGLYPHS)))
+    return T.bound(T._col(text), fold)
+
+
+def plain(text: Column | str, *, once: bool = False) -> Column:
+    """What preserves_meaning compares: the text folded and normalised."""
+    return T.normalize(fold_homoglyphs(text), once=once)
+
+
+def with_plain(rows: DataFrame, text: str, name: str, normalised: str) -> DataFrame:
+    """rows with text normalised, and as plain() has it in column name; both are the same unless a letter could be folded."""
+    folds = ~F.col(text).rlike(T.INERT)
+    both = rows.withColumn(normalised, T.normalize(text, once=True))
+    return both.withColumn(name, F.when(folds, plain(F.when(folds, F.col(text)), once=True)).otherwise(F.col(normalised)))
+
+
+def alike(known: str, changed: str, least: float = 0.5) -> Column:
+    """preserves_meaning of two columns that are plain already; equal ones do not go to Python."""
+    a, b = (F.coalesce(c, F.lit("")) for c in (known, changed))
+    other = a != b
+    return F.when(other, dedup.texts_resemble(F.when(other, a).otherwise(""), F.when(other, b).otherwise(""), F.lit(least))).otherwise(a != "")
 
 
 def preserves_meaning(original: Column | str, changed: Column | str, least: float = 0.5) -> Column:
     """Whether MinHash signatures of both texts, folded and normalised, agree in a share of at least `least`; false for empty texts."""
-    a, b = (T.normalize(fold_homoglyphs(x)) for x in (original, changed))
+    a, b = plain(original), plain(changed)
     return dedup.texts_resemble(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")), F.lit(least))
 
 

@@ -15,6 +15,7 @@ from textmill.functions import attacks as A
 from textmill.functions import text as T
 from textmill.operators import metrics
 
+# attack_table works these forms out together
 #: What a deployment may do to a text before it scores it; normalised is what one does by default.
 CONDITIONS: dict[str, Callable[[Column], Column]] = {
     "raw": lambda t: t,
@@ -33,8 +34,12 @@ def _known(conditions: tuple[str, ...]) -> None:
         raise ValueError(f"unknown conditions {unknown}" if unknown else "the normalised condition is what deltas are stated against")
 
 
+def _miss(form: Column, score: Score, threshold: float, condition: str) -> Column:
+    return (score(form) < threshold).cast("double").alias(f"missed_{condition}")
+
+
 def _missed(text: Column, score: Score, threshold: float, conditions: tuple[str, ...]) -> list[Column]:
-    return [(score(CONDITIONS[c](text)) < threshold).cast("double").alias(f"missed_{c}") for c in conditions]
+    return [_miss(CONDITIONS[c](text), score, threshold, c) for c in conditions]
 
 
 def attack_table(generated: DataFrame, score: Score, threshold: float, *, conditions: tuple[str, ...] = DEFAULT, attacks: dict[str, tuple[float, ...]] = A.SEVERITIES) -> DataFrame:
@@ -48,11 +53,16 @@ def attack_table(generated: DataFrame, score: Score, threshold: float, *, condit
     """
     _known(conditions)
     real = generated.where(F.col("text").isNotNull())
-    made = A.attack_matrix(real.select("doc_id", "text"), attacks).withColumn("noop", A.is_noop("text", "attacked"))
+    made = A.attack_matrix(real.select("doc_id", "text", A.plain("text", once=True).alias("known")), attacks, keep=("known",)).withColumn("noop", A.is_noop("text", "attacked"))
     # what is no change is neither judged nor scored
     changed = F.when(~F.col("noop"), F.col("attacked"))
-    judged = made.withColumn("valid", F.when(~F.col("noop"), A.preserves_meaning("text", "attacked")).otherwise(False))
-    kept = judged.select("attack", "severity", "noop", "valid", *_missed(F.when(F.col("valid"), changed), score, threshold, conditions))
+    # forms that several conditions and the judgement read are columns of their own
+    made = A.with_plain(made.withColumn("changed", changed), "changed", "plain", "normalised")
+    folds = ~F.col("changed").rlike(T.INERT)
+    folded = F.when(folds, T.normalize(F.when(folds, F.col("changed")), fold_confusables=True, once=True)).otherwise(F.col("normalised"))
+    judged = made.withColumn("folded", folded if {"folded", "casefolded"} & set(conditions) else F.lit(None).cast("string")).withColumn("valid", ~F.col("noop") & A.alike("known", "plain"))
+    forms = {"raw": F.col("changed"), "normalised": F.col("normalised"), "folded": F.col("folded"), "casefolded": F.lower("folded")}
+    kept = judged.select("attack", "severity", "noop", "valid", *[_miss(F.when(F.col("valid"), forms[c]), score, threshold, c) for c in conditions])
     counts = kept.groupBy("attack", "severity").agg(
         F.count(F.when(F.col("valid"), 1)).alias("n_scored"), F.count(F.when(F.col("noop"), 1)).alias("n_noop"), F.count(F.when(~F.col("noop") & ~F.col("valid"), 1)).alias("n_invalid"),
         *[F.avg(F.when(F.col("valid"), F.col(f"missed_{c}"))).alias(f"fnr_{c}") for c in conditions],

@@ -9,7 +9,7 @@ from textmill.functions import attacks, attributes, spans
 from textmill.functions import hashing as H
 from textmill.functions import text as T
 from textmill.operators import audits, cleaning, decisions, dedup, density, lake, metrics, mining, mixtures, robustness, sampling
-from textmill.operators.tables import spread
+from textmill.operators.tables import bound_batches, checkpointed, spread
 from textmill.sources import pools, readers
 
 FLAGSHIP = "whole_cleaning_funnel"
@@ -50,7 +50,7 @@ def cleaned_documents(spark, sf):
 def text_statistics(spark, sf):
     t = F.coalesce("text", F.lit(""))
     each = {"tokens": T.token_count(t), "symbols": F.round(T.symbol_ratio(t), 9), "repeated": F.round(T.repeated_line_ratio(t), 9), "word_length": F.round(T.mean_word_length(t), 9), "distinct_words": F.round(T.unique_word_ratio(t), 9)}
-    return _docs(spark, sf).select("doc_id", *[c.alias(n) for n, c in each.items()])
+    return spread(_docs(spark, sf).select("doc_id", "text")).select("doc_id", *[c.alias(n) for n, c in each.items()])
 
 
 def language_scores(spark, sf):
@@ -124,12 +124,13 @@ def capped_documents(spark, sf):
 
 
 def matched_cap(spark, sf):
-    docs = _split(_docs(spark, sf)).select("doc_id", "lang", "split", "text")
-    return sampling.cap_documents_matching(docs.where("lang != 'en'"), docs.where("lang = 'en'"), 90).select("doc_id", "split")
+    # texts are read once, and no more than their bins is moved
+    docs = checkpointed(_split(spread(_docs(spark, sf).select("doc_id", "lang", "text"))).select("doc_id", "lang", "split", sampling.length_bin("text").alias("bin")), "bins")
+    return sampling.cap_documents_matching(docs.where("lang != 'en'"), docs.where("lang = 'en'"), 90, bin="bin").select("doc_id", "split")
 
 
 def length_bins(spark, sf):
-    return _split(_docs(spark, sf)).groupBy("split", sampling.length_bin(F.coalesce("text", F.lit(""))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _split(spread(_docs(spark, sf).select("doc_id", "text"))).groupBy("split", sampling.length_bin(F.coalesce("text", F.lit(""))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def interleaved(spark, sf):
@@ -150,7 +151,7 @@ def exact_contamination(spark, sf):
 def whole_exact_contamination(spark, sf):
     """Benchmark items that some document equals after normalisation: all items against all documents."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    return audits.exact_overlap(_docs(spark, sf).select("doc_id", "text"), items).select(F.col("doc_id").alias("item_id"), "train_id")
+    return audits.exact_overlap(spread(_docs(spark, sf).select("doc_id", "text")), items).select(F.col("doc_id").alias("item_id"), "train_id")
 
 
 def contamination(spark, sf):
@@ -181,7 +182,8 @@ def role_segments(spark, sf):
 
 
 def page_text(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"))
+    bound_batches(spark)
     return pages.select("page_id", T.token_count(readers.html_text("html")).alias("tokens"))
 
 
@@ -190,13 +192,15 @@ def quotes(spark, sf):
 
 
 def attack_report(spark, sf):
-    made = attacks.attack_matrix(spread(_docs(spark, sf)).select("doc_id", "text")).withColumns({"s": F.length("attacked") % 101 / 101.0, "valid": attacks.preserves_meaning("text", "attacked")})
+    docs = spread(_docs(spark, sf).select("doc_id", "text")).withColumn("known", attacks.plain("text", once=True))
+    made = attacks.with_plain(attacks.attack_matrix(docs, keep=("known",)), "attacked", "plain", "normalised")
+    made = made.withColumns({"s": F.length("attacked") % 101 / 101.0, "valid": attacks.alike("known", "plain")})
     return attacks.attack_report(made, 0.5)
 
 
 def attack_conditions(spark, sf):
     """All documents under all attacks and conditions, against themselves unchanged."""
-    docs = spread(_docs(spark, sf)).select("doc_id", "text")
+    docs = spread(_docs(spark, sf).select("doc_id", "text"))
     return robustness.attack_table(docs, lambda t: F.length(t) % 101 / 101.0, 0.5, conditions=tuple(robustness.CONDITIONS))
 
 
@@ -234,7 +238,7 @@ def document_attributes(spark, sf):
 
 def decodings(spark, sf):
     """Decoding settings of all documents with words."""
-    docs = _docs(spark, sf).select("doc_id", T.token_count(F.coalesce("text", F.lit(""))).alias("n")).where("n > 0")
+    docs = spread(_docs(spark, sf).select("doc_id", "text")).select("doc_id", T.token_count(F.coalesce("text", F.lit(""))).alias("n")).where("n > 0")
     return docs.select("doc_id", attributes.decoding("doc_id", [0.6, 0.8, 1.0], [0.9, 0.95], 1024, "n", greedy=True).alias("d")).select("doc_id", "d.*")
 
 
