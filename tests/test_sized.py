@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import attacks
 from textmill.functions import text as T
+from textmill.llm import simhash
 from textmill.plans import catalogue
 from textmill.sources import readers
 
@@ -54,3 +55,14 @@ def test_batches_of_pages_and_texts_are_bounded(spark, tiny):
 
 def test_matched_cap_moves_no_texts(spark, tiny):
     assert "text" not in _plan(catalogue.matched_cap(spark, tiny))
+
+
+def test_filed_fingerprints_move_once(spark):
+    fps = [0, 1, 3, 7, 15, 31, 1 << 40, (1 << 40) | 3, -1, -2, 0x5555555555555555]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    assert "Join" not in _plan(simhash._near(df))
+    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    want = {x: {x} for x in fps}
+    for _ in fps:
+        want = {x: set().union(*(want[y] for y in fps if far(x, y) <= 4)) for x in fps}
+    assert {r.fp: r.comp for r in simhash.fingerprint_groups(df).collect()} == {x: min(want[x]) for x in fps}

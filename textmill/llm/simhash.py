@@ -10,7 +10,7 @@ Large groups of near copies would meet in all pairs.  Therefore fingerprints tha
 a neighbour in the full 64-bit ball (65 values) are linked first, to the smallest that
 files there: they differ in 2 bits at most, so no verification and no pairs are needed.
 The tables then only pair fingerprints of different groups; places where one group
-alone meets are dropped by an aggregate before the join.
+alone meets are dropped by a window before the join, so filed rows move once.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.components import components
@@ -84,9 +84,8 @@ def _ball(value: Column, bits: int) -> Column:
 def _near(fps: DataFrame) -> DataFrame:
     """Pairs that are linked by a common neighbour in the full ball: a chain to the smallest of each place."""
     filed = dealt(fps, "fp").select("fp", F.explode(_ball(F.col("fp"), 64)).alias("place"))
-    least = filed.groupBy("place").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a != top")
-    # written, so that Spark knows its size: nearly all places hold one print, and a small table spares the filed rows a second shuffle
-    return filed.join(staged(least, "simhash-places"), "place").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    # a window, as an aggregate and a join would move the filed rows twice once the places do not fit a broadcast
+    return filed.withColumn("a", F.min("fp").over(Window.partitionBy("place"))).where("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def _across(grouped: DataFrame, max_distance: int) -> DataFrame:
@@ -96,10 +95,9 @@ def _across(grouped: DataFrame, max_distance: int) -> DataFrame:
     # the table's number is kept in bit 32, which no 32-bit segment uses
     tables = F.flatten(F.array(_ball(low, SEGMENT_BITS), _ball(high.bitwiseOR(F.lit(1 << SEGMENT_BITS)), SEGMENT_BITS)))
     filed = dealt(grouped, "fp").select("fp", "comp", F.explode(tables).alias("place"))
-    mixed = filed.groupBy("place").agg(F.min("comp").alias("least"), F.max("comp").alias("top")).where("least != top")
-    # written for its size, as in _near
-    mixed = staged(mixed, "simhash-places")
-    met = staged(filed.join(mixed, "place"), "simhash-met")
+    place = Window.partitionBy("place")
+    # as in _near
+    met = staged(filed.withColumns({"least": F.min("comp").over(place), "top": F.max("comp").over(place)}).where("least != top"), "simhash-met")
     left = met.where("comp != least").select("place", F.col("fp").alias("fp_a"), F.col("comp").alias("b"))
     right = met.where("comp != top").select("place", F.col("fp").alias("fp_b"), F.col("comp").alias("a"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_distance)
