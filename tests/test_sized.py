@@ -1,5 +1,6 @@
 """What showed on larger tables only: lost digits, slow forms of expressions, disk that grows."""
 
+import random
 import re
 import unicodedata
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from textmill.functions import attacks
 from textmill.functions import text as T
 from textmill.llm import simhash
+from textmill.operators import cleaning
 from textmill.plans import catalogue
 from textmill.sources import readers
 
@@ -46,6 +48,32 @@ def test_tokens_are_counted_between_white_space(spark):
     assert "regexp_extract_all" not in _plan(df)
 
 
+def test_funnel_counts_tokens_and_finds_words_once(spark):
+    records = spark.createDataFrame([("a", 1, "text")], "source_id string, source_record_id long, text string")
+    judged = cleaning.judge(records, normalise=False, redact=False).select("reject_reason")
+    plan = _plan(judged)
+    # one pattern each for plain texts and for others, whatever number of stages reads their result
+    assert plan.count(f"{T.UNPRINTED}[{T.SPACE}]+") == 1 and plan.count(T.NO_WORD) == 2 and plan.count("(?U)") == 1
+
+
+def test_plain_texts_are_measured_like_others(spark):
+    rng = random.Random(15)
+    parts = ["a", "Of", "of", "ÉÉ", "éé", "Ж", "ж", "İ", "i̇", "ß", "ΑΣ", "ας", "中", "中文", "_", "x_1", "²", "7", "\u200b", "\u200c", "don't", "…", "“q”", "(", ".", "==", " ", "  ", "\n", " \n\n", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\u2028"]
+    plain = [p for p in parts if re.fullmatch(r"[\n -~éÉЖж中文\u200b]*", p)]
+    texts = ["", " ", "\n", "_", "...", "İ", "a\n a \nb", *["".join(rng.choices(plain if k % 2 else parts, k=rng.randrange(60))) for k in range(400)]]
+    t = F.col("t")
+    alone = F.struct(T.symbol_ratio(t).alias("symbols"), T.repeated_line_ratio(t).alias("repeated"), T.mean_word_length(t).alias("word_length"), T.unique_word_ratio(t).alias("distinct"))
+    df = spark.createDataFrame([(x,) for x in texts], "t string").coalesce(1)
+    rows = df.select("t", t.rlike(T.STEADY).alias("steady"), T.token_count(t).alias("n"), T.quality(t).alias("q"), alone.alias("alone")).collect()
+    assert 150 < sum(r.steady for r in rows) < len(rows) - 150
+    assert all(r.q == r.alone for r in rows)
+    assert all(r.n == len(re.findall(rf"[^{T.SPACES}]+", r.t)) for r in rows)
+    # lowering keeps the number of characters of each steady character, and whether it belongs to a word
+    each = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS t")).where(t.rlike(T.STEADY))
+    word = rf"\A{T.WORD}\z"
+    assert each.count() > 20_000 and each.where((F.length(F.lower(t)) != 1) | (F.lower(t).rlike(word) != t.rlike(word))).count() == 0
+
+
 def test_batches_of_pages_and_texts_are_bounded(spark, tiny):
     for query in (catalogue.page_text, catalogue.whole_exact_contamination, catalogue.document_attributes):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")

@@ -31,6 +31,8 @@ PLAIN = (
 )
 # The same without Cyrillic, so without any letter that folding changes.
 INERT = PLAIN.replace(r"\x{400}-\x{45f}", "")
+# The same without the capital I with a dot, which two characters replace when lowered; the words of such texts keep their number and lengths.
+STEADY = PLAIN.replace(r"\x{bf}-\x{131}", r"\x{bf}-\x{12f}\x{131}")
 
 # The English function words of the language heuristic, and its full share.
 ENGLISH = (
@@ -89,8 +91,13 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def token_count(text: Column | str) -> Column:
-    """Number of tokens between white space; texts are split at it, as counting what is not of it takes eight times as long."""
-    return F.array_size(F.array_remove(F.split(_col(text), f"{UNPRINTED}[{SPACE}]+"), "")).cast("long")
+    """Number of tokens between white space; texts are split at it, as counting what is not of it takes eight times as long.  Plain texts are split at blanks, which takes no pattern."""
+
+    def counted(t: Column) -> Column:
+        plain = F.split(F.replace(t, F.lit("\n"), F.lit(" ")), " ")
+        return F.array_size(F.array_remove(F.when(t.rlike(PLAIN), plain).otherwise(F.split(t, f"{UNPRINTED}[{SPACE}]+")), "")).cast("long")
+
+    return bound(_col(text), counted)
 
 
 def is_ascii(text: Column) -> Column:
@@ -130,6 +137,26 @@ def unique_word_ratio(text: Column | str) -> Column:
     return bound(words(F.lower(_col(text))), lambda found: F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.array_distinct(found)) / F.size(found)))
 
 
+def quality(text: Column | str) -> Column:
+    """struct(symbols, repeated, word_length, distinct): the ratios and the mean above, of the words of steady texts found once for all."""
+
+    def told(symbols: Column, word_length: Column, distinct: Column, t: Column) -> Column:
+        return F.struct(symbols.alias("symbols"), repeated_line_ratio(t).alias("repeated"), word_length.alias("word_length"), distinct.alias("distinct"))
+
+    def steady(t: Column) -> Column:
+        def ratios(c: Column) -> Column:
+            symbols = F.when(F.length(t) == 0, 1.0).otherwise((c["solid"] - c["chars"]) / F.length(t))
+            return told(symbols, *[F.when(c["n"] == 0, 0.0).otherwise(x / c["n"]) for x in (c["chars"], c["different"])], t)
+
+        # what is not white space, and of it what stands in words
+        solid = F.length(F.replace(F.replace(t, F.lit(" ")), F.lit("\n")))
+        found = F.array_remove(F.split(F.lower(t), NO_WORD), "")
+        counts = bound(found, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), F.size(F.array_distinct(w)).alias("different"), solid.alias("solid")))
+        return bound(counts, ratios)
+
+    return bound(_col(text), lambda t: F.when(t.rlike(STEADY), steady(t)).otherwise(told(symbol_ratio(t), mean_word_length(t), unique_word_ratio(t), t)))
+
+
 def first_reason(reasons: list[tuple[Column, str]]) -> Column:
     """The first reason whose condition holds, else null."""
     out = F.lit(None).cast("string")
@@ -142,9 +169,9 @@ def all_reasons(reasons: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in reasons]))
 
 
-def length_reasons(text: Column | str, policy: LengthPolicy = LengthPolicy()) -> list[tuple[Column, str]]:
-    t = _col(text)
-    n = token_count(t)
+def length_reasons(text: Column | str, tokens: Column | str, policy: LengthPolicy = LengthPolicy()) -> list[tuple[Column, str]]:
+    """Reasons by a text's length and by its token_count, which is a column of its own so that it is counted once."""
+    t, n = _col(text), _col(tokens)
     return [
         (F.length(t) < policy.min_chars, "too_short_chars"),
         (n < policy.min_tokens, "too_short_tokens"),
@@ -152,12 +179,14 @@ def length_reasons(text: Column | str, policy: LengthPolicy = LengthPolicy()) ->
     ]
 
 
-def quality_reasons(text: Column | str, policy: QualityPolicy = QualityPolicy()) -> list[tuple[Column, str]]:
+def quality_reasons(measured: Column | str, policy: QualityPolicy = QualityPolicy()) -> list[tuple[Column, str]]:
+    """Reasons by a text's quality(), a column of its own so that it is measured once."""
+    q = _col(measured)
     return [
-        (symbol_ratio(text) > policy.max_symbol_ratio, "high_symbol_ratio"),
-        (repeated_line_ratio(text) > policy.max_repeated_line_ratio, "repetitive_lines"),
-        (~mean_word_length(text).between(policy.min_mean_word_length, policy.max_mean_word_length), "anomalous_word_length"),
-        (unique_word_ratio(text) < policy.min_unique_word_ratio, "low_lexical_diversity"),
+        (q["symbols"] > policy.max_symbol_ratio, "high_symbol_ratio"),
+        (q["repeated"] > policy.max_repeated_line_ratio, "repetitive_lines"),
+        (~q["word_length"].between(policy.min_mean_word_length, policy.max_mean_word_length), "anomalous_word_length"),
+        (q["distinct"] < policy.min_unique_word_ratio, "low_lexical_diversity"),
     ]
 
 

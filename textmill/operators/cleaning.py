@@ -59,19 +59,21 @@ def judge(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), *, norm
     first = records.withColumn("__missing", missing).withColumn("text", T.normalize(text, once=True) if normalise else text)
     # each stage is a projection of its own, so that what several stages read is computed once
     lang = T.language("text", F.col("upstream"))
-    first = first.withColumn("__lang", lang)
+    first = first.withColumns({"__lang": lang, "__tokens": T.token_count("text")})
     wrong = (F.col("__lang.language") != policy.language) | (F.col("__lang.score") < policy.language_score_min)
-    reasons = [
+    early = [
         (F.col("__missing"), "empty_or_unidentified"),
         (F.col("text") == "", "empty_after_normalization"),
-        *T.length_reasons("text", policy.length),
+        *T.length_reasons("text", "__tokens", policy.length),
         (F.coalesce(wrong, F.lit(True)), "language"),
-        *T.quality_reasons("text", policy.quality),
     ]
-    judged = first.withColumn("reject_reason", T.first_reason(reasons))
+    # only texts that come so far are measured
+    first = first.withColumn("__early", T.first_reason(early)).withColumn("__quality", F.when(F.col("__early").isNull(), T.quality("text")))
+    judged = first.withColumn("reject_reason", F.coalesce("__early", T.first_reason(T.quality_reasons("__quality", policy.quality))))
     if redact:
         judged = T.with_redacted(judged, "text", "__redacted").withColumn("text", F.col("__redacted.text"))
-        again = T.first_reason([(c, f"{n}_after_redaction") for c, n in T.length_reasons("text", policy.length)])
+        judged = judged.withColumn("__tokens", T.token_count("text"))
+        again = T.first_reason([(c, f"{n}_after_redaction") for c, n in T.length_reasons("text", "__tokens", policy.length)])
         judged = judged.withColumn("reject_reason", F.coalesce("reject_reason", again))
         flags = F.col("__redacted.flags")
     else:
