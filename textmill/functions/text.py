@@ -7,6 +7,7 @@ null, except in ratios, which have a defined value for empty texts.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -29,8 +30,6 @@ PLAIN = (
     r"\A[\n\x{20}-\x{7e}[\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}"
     r"\x{400}-\x{45f}\x{200b}-\x{200d}\x{2013}\x{2014}\x{2018}-\x{201d}\x{2060}\x{3041}-\x{3094}\x{30a1}-\x{30fa}\x{4e00}-\x{9fcb}\x{feff}]]*+\z"
 )
-# The same without Cyrillic, so without any letter that folding changes.
-INERT = PLAIN.replace(r"\x{400}-\x{45f}", "")
 # The same without the capital I with a dot, which two characters replace when lowered; the words of such texts keep their number and lengths.
 STEADY = PLAIN.replace(r"\x{bf}-\x{131}", r"\x{bf}-\x{12f}\x{131}")
 
@@ -276,6 +275,49 @@ def normalize(text: Column | str, *, fold_confusables: bool = False, once: bool
     return bound(F.struct(composed.alias("composed"), t.alias("text")), lambda x: F.when(x["composed"].isNull(), plain(x["text"])).otherwise(whole(x["composed"])))
 
 
+# the same steps for a text that is in Python already: a pass of a pattern over it costs Spark more than the way here and back
+_CAN_FOLD = re.compile(f"[{CONFUSABLE}]")
+_BLANKS = re.compile("[ \t]{2,}|\t")
+_NEWLINES = re.compile("\n{3,}")
+_EDGE = SPACES.replace("\n", "")
+
+
+def composed(t: str) -> str:
+    return t if t.isascii() else unicodedata.normalize("NFKC", t)
+
+
+def replaced(t: str, letters: str, by: str) -> str:
+    """t with letters replaced by those at their places: letter by letter, which is faster than str.translate."""
+    for old, new in zip(letters, by, strict=True):
+        t = t.replace(old, new)
+    return t
+
+
+def confusables_folded(t: str) -> str:
+    return t if t.isascii() or not _CAN_FOLD.search(t) else replaced(t, CONFUSABLE, LATIN)
+
+
+def smoothed(t: str) -> tuple[str, bool]:
+    """A composed text as normalize() has it, and False; with True, one that strip_markup may change, and so is without its last steps, which finished() takes."""
+    if not t.isascii():
+        for c in INVISIBLE:
+            if c in t:
+                t = t.replace(c, "")
+    if "&" in t or "<" in t or "](" in t:
+        return t, True
+    # the only blanks that a composed text holds
+    if "  " in t or "\t" in t:
+        t = _BLANKS.sub(" ", t)
+    if "\n" in t:
+        t = "\n".join([line.strip(_EDGE) for line in _NEWLINES.sub("\n\n", t).split("\n")])
+    return t.strip(SPACES), False
+
+
+def finished(text: Column, marked: Column) -> Column:
+    """What smoothed() gives, with its last steps where it is marked."""
+    return F.when(marked, collapse_whitespace(strip_markup(text))).otherwise(text)
+
+
 def luhn(digits: Column) -> Column:
     """Whether 13 to 19 digits have a valid check digit; other characters are passed over."""
     only = F.regexp_replace(digits, r"[^0-9]", "")

@@ -15,7 +15,7 @@ from textmill.functions import attacks as A
 from textmill.functions import text as T
 from textmill.operators import metrics
 
-# attack_table works these forms out together
+# attack_table works these forms out together, by attacks.judged_matrix()
 #: What a deployment may do to a text before it scores it; normalised is what one does by default.
 CONDITIONS: dict[str, Callable[[Column], Column]] = {
     "raw": lambda t: t,
@@ -34,12 +34,14 @@ def _known(conditions: tuple[str, ...]) -> None:
         raise ValueError(f"unknown conditions {unknown}" if unknown else "the normalised condition is what deltas are stated against")
 
 
-def _miss(form: Column, score: Score, threshold: float, condition: str) -> Column:
-    return (score(form) < threshold).cast("double").alias(f"missed_{condition}")
+def _forms(raw: str, conditions: tuple[str, ...]) -> dict[str, Column]:
+    """What CONDITIONS make of column raw, from the columns of attacks.judged_matrix()."""
+    forms = {"raw": F.col(raw), "normalised": F.col("normalised"), "folded": F.col("folded"), "casefolded": F.lower("folded")}
+    return {c: forms[c] for c in conditions}
 
 
-def _missed(text: Column, score: Score, threshold: float, conditions: tuple[str, ...]) -> list[Column]:
-    return [_miss(CONDITIONS[c](text), score, threshold, c) for c in conditions]
+def _miss(form: Column, score: Score, threshold: float, condition: str) -> Column:
+    return (score(form) < threshold).cast("double").alias(f"missed_{condition}")
 
 
 def attack_table(generated: DataFrame, score: Score, threshold: float, *, conditions: tuple[str, ...] = DEFAULT, attacks: dict[str, tuple[float, ...]] = A.SEVERITIES) -> DataFrame:
@@ -53,21 +55,18 @@ def attack_table(generated: DataFrame, score: Score, threshold: float, *, condit
     """
     _known(conditions)
     real = generated.where(F.col("text").isNotNull())
-    made = A.attack_matrix(real.select("doc_id", "text", A.plain("text", once=True).alias("known")), attacks, keep=("known",)).withColumn("noop", A.is_noop("text", "attacked"))
-    # what is no change is neither judged nor scored
-    changed = F.when(~F.col("noop"), F.col("attacked"))
-    # forms that several conditions and the judgement read are columns of their own
-    made = A.with_plain(made.withColumn("changed", changed), "changed", "plain", "normalised")
-    folds = ~F.col("changed").rlike(T.INERT)
-    folded = F.when(folds, T.normalize(F.when(folds, F.col("changed")), fold_confusables=True, once=True)).otherwise(F.col("normalised"))
-    judged = made.withColumn("folded", folded if {"folded", "casefolded"} & set(conditions) else F.lit(None).cast("string")).withColumn("valid", ~F.col("noop") & A.alike("known", "plain"))
-    forms = {"raw": F.col("changed"), "normalised": F.col("normalised"), "folded": F.col("folded"), "casefolded": F.lower("folded")}
-    kept = judged.select("attack", "severity", "noop", "valid", *[_miss(F.when(F.col("valid"), forms[c]), score, threshold, c) for c in conditions])
+    folds = bool({"folded", "casefolded"} & set(conditions))
+    made = A.judged_matrix(real.select("doc_id", "text"), attacks, folds=folds)
+    # what is no change, or known to mean something else, is not scored
+    scored = F.coalesce("valid", F.lit(True)) & ~F.col("noop")
+    missed = [_miss(F.when(scored, form), score, threshold, c) for c, form in _forms("attacked", conditions).items()]
+    kept = A.settled(made.select("attack", "severity", "noop", "valid", "known", "plain", *missed)).withColumn("valid", ~F.col("noop") & F.col("valid"))
     counts = kept.groupBy("attack", "severity").agg(
         F.count(F.when(F.col("valid"), 1)).alias("n_scored"), F.count(F.when(F.col("noop"), 1)).alias("n_noop"), F.count(F.when(~F.col("noop") & ~F.col("valid"), 1)).alias("n_invalid"),
         *[F.avg(F.when(F.col("valid"), F.col(f"missed_{c}"))).alias(f"fnr_{c}") for c in conditions],
     )
-    clean = real.select(*_missed(F.col("text"), score, threshold, conditions)).agg(*[F.avg(f"missed_{c}").alias(c) for c in conditions]).first()
+    unchanged = A.normal_forms(real, folds=folds)
+    clean = unchanged.select(*[_miss(form, score, threshold, c) for c, form in _forms("text", conditions).items()]).agg(*[F.avg(f"missed_{c}").alias(c) for c in conditions]).first()
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"fnr_{c}").alias("fnr"), F.lit(clean[c]).cast("double").alias("clean_fnr")) for c in conditions]))
     rows = counts.select("attack", "severity", "n_scored", "n_noop", "n_invalid", each.alias("x")).withColumn("fnr", F.coalesce("x.fnr", "x.clean_fnr"))
     return rows.select("attack", "severity", "x.condition", "n_scored", "fnr", "x.clean_fnr", (F.col("fnr") - F.col("x.clean_fnr")).alias("delta"), "n_noop", "n_invalid")

@@ -192,10 +192,9 @@ def quotes(spark, sf):
 
 
 def attack_report(spark, sf):
-    docs = spread(_docs(spark, sf).select("doc_id", "text")).withColumn("known", attacks.plain("text", once=True))
-    made = attacks.with_plain(attacks.attack_matrix(docs, keep=("known",)), "attacked", "plain", "normalised")
-    made = made.withColumns({"s": F.length("attacked") % 101 / 101.0, "valid": attacks.alike("known", "plain")})
-    return attacks.attack_report(made, 0.5)
+    made = attacks.judged_matrix(spread(_docs(spark, sf).select("doc_id", "text")), forms=False)
+    scored = made.select("attack", "severity", "noop", "valid", "known", "plain", (F.length("attacked") % 101 / 101.0).alias("s"))
+    return attacks.attack_report(attacks.settled(scored), 0.5)
 
 
 def attack_conditions(spark, sf):
