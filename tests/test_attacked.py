@@ -47,3 +47,12 @@ def test_letters_that_fold_to_listed_words_are_left(spark):
     docs = spark.createDataFrame([(1, "uſe begİn ma\u212ae Use x-use an A the")], "doc_id long, text string")
     got = {r.attack: r.attacked for r in A.attack_matrix(docs, {"synonym_swap": (1.0,), "article_deletion": (1.0,)}).collect()}
     assert got == {"synonym_swap": "uſe begİn create Employ x-use an A the", "article_deletion": "uſe begİn ma\u212ae Use x-use"}
+
+
+def test_report_is_that_of_the_matrix(spark, tmp_path):
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(TEXTS)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    one = A.attack_matrix(docs).withColumns({"s": F.length("attacked") % 101 / 101.0, "valid": A.preserves_meaning("text", "attacked")})
+    want = {(r.attack, r.severity): r for r in A.attack_report(one, 0.5).collect()}
+    got = {(r.attack, r.severity): r for r in catalogue.attack_report(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 17 and all(r.invalid >= 3 for r in got.values())
