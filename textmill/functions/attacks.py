@@ -271,7 +271,7 @@ def _made(plan: list[tuple[str, float]], forms: bool, folds: bool, least: float)
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         resembles = dedup.Resemblance()
         for part in batches:
-            ends = part["text"].str.len().fillna(0).cumsum() // CUT
+            ends = part["text"].fillna("").str.len().cumsum() // CUT
             for _, cut in part.groupby(ends.to_numpy()):
                 real = cut[cut["text"].notna()]
                 texts = real["text"].tolist()
